@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import bounded_batches, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
-#: Pieces that a worker's cache holds in each of its two generations.
-CACHED = 200_000
+#: Strings that a worker's cache holds in each of its two generations.
+CACHED = 400_000
 #: Public pre-tokenization pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,6 +57,22 @@ def whole_tokens(name: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(single, t.encode_batch_fast(single, add_special_tokens=False)) if len(e.ids) == 1)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the
+    others for the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+
+
+def merge(model, pre_token: str) -> list:
+    """The tokens of one pre-token by the vocabulary's merges alone."""
+    return model.tokenize(pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS))
+
+
 class Cache(dict):
     """A dictionary that forgets: what was not used since the last time it filled goes first."""
 
@@ -84,6 +100,8 @@ def counter(name: str):
     find, plain = regex.compile(PATTERN).findall, regex.compile("[\x00-ɏ]*").fullmatch
     special = [s.content for s in t.get_added_tokens_decoder().values()]
 
+    model = t.model
+
     def merged(s: str) -> int:
         return len(t.encode(s, add_special_tokens=False).ids)
 
@@ -92,7 +110,7 @@ def counter(name: str):
             return merged(s)
         found = find(s)
         rest = [x for x in found if x not in whole]
-        return len(found) - len(rest) + sum(merged(x) for x in rest)
+        return len(found) - len(rest) + sum(len(merge(model, x)) for x in rest)
 
     unproven = 1 << 50
     spaced = Cache(lambda s: of_piece(" " + s) if s and not s[0].isspace() and not s[-1].isspace() else unproven)

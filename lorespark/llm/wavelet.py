@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import bounded_batches, new_path, stored, table
-from lorespark.llm.tokens import Cache, tokenizer
+from lorespark.llm.tokens import Cache, merge, tokenizer
 
+#: Public pre-tokenization pattern of the vocabulary with word ends (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 VOCABULARY, END, SHARD, MAGIC, BLOCK = "word_bpe_49k.json", 1, 1 << 20, b"LSWM0001", 512
 
 
@@ -143,10 +145,23 @@ class Shard:
 @lru_cache(maxsize=2)
 def encoder(name: str):
     """A function from a text to its ids as bytes (uint32, little-endian). The vocabulary drops white space and
-    no pre-token crosses it, so each stretch between white space is encoded alone and kept in a bounded cache."""
+    no pre-token crosses it, so each stretch between white space is encoded alone: cut into pre-tokens, and each
+    of these merged. Bounded caches keep both. Stretches with special strings or characters above U+024F, whose
+    classes may differ between Unicode versions, are the library's as they are."""
+    import regex
+
     t = tokenizer(name)
+    model, find, plain = t.model, regex.compile(PATTERN).findall, regex.compile("[\x00-ɏ]*").fullmatch
+    special = [s.content for s in t.get_added_tokens_decoder().values()]
     encode = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    cache = Cache(encode)
+    words = Cache(lambda w: np.array([x.id for x in merge(model, w)], dtype="<u4").tobytes(), 200_000)
+
+    def stretch(s: str) -> bytes:
+        if not plain(s) or any(x in s for x in special):
+            return encode(s)
+        return b"".join(map(words.__getitem__, find(s.lower())))
+
+    cache = Cache(stretch)
     #: Characters that Python takes for white space and the vocabulary's pattern doesn't.
     odd = [chr(c) for c in range(0x1C, 0x20)]
 
