@@ -96,6 +96,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the contaminated ones."""
+    bad = contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_col) == F.col("bad_hash")), "left_anti")
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return contamination(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("text_hash")

@@ -178,6 +178,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest id (a null id only where there is no
+    other), of rows with that id the one with the smallest text hash, and of equal rows one."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    marked = docs.withColumn("__name", name).withColumn("__hash", F.xxhash64(text_col))
+    rows = marked.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__name").alias("name"), F.col("__hash").alias("hash")).alias("r"), F.col(text_col).alias("t"))
+    fps = stored(fingerprints(rows, "r", "t"), "fingerprints")
+    heads = components(links(fps), "simhash")
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    rooted = least.join(heads, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
+    keep = rooted.select(F.col("least.name").alias("__name"), F.col("least.hash").alias("__hash"))
+    return marked.join(keep, ["__name", "__hash"], "left_semi").dropDuplicates(["__name", "__hash"]).select(*docs.columns)
+
+
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     from lorespark.llm.common import table
 
