@@ -105,12 +105,18 @@ def counter(name: str):
     def merged(s: str) -> int:
         return len(t.encode(s, add_special_tokens=False).ids)
 
+    words = Cache(lambda s: 1 if s in whole else len(merge(model, s)))
+
     def of_piece(s: str) -> int:
+        if s[1:].isascii():
+            if s[1:].isalpha() and s[0] == " ":
+                return words[s]
+            if s[1:-1].isalpha() and s[0] == " " and s[-1] in ".,;:!?":
+                return words[s[:-1]] + words[s[-1]]
         if not plain(s) or any(x in s for x in special):
             return merged(s)
         found = find(s)
-        rest = [x for x in found if x not in whole]
-        return len(found) - len(rest) + sum(len(merge(model, x)) for x in rest)
+        return sum(map(words.__getitem__, found))
 
     unproven = 1 << 50
     spaced = Cache(lambda s: of_piece(" " + s) if s and not s[0].isspace() and not s[-1].isspace() else unproven)

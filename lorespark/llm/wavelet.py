@@ -146,29 +146,31 @@ class Shard:
 def encoder(name: str):
     """A function from a text to its ids as bytes (uint32, little-endian). The vocabulary drops white space and
     no pre-token crosses it, so each stretch between white space is encoded alone: cut into pre-tokens, and each
-    of these merged. Bounded caches keep both. Stretches with special strings or characters above U+024F, whose
-    classes may differ between Unicode versions, are the library's as they are."""
+    of these merged. Bounded caches keep both. Texts with special strings or characters above U+024F, whose classes
+    may differ between Unicode versions, are the library's as they are."""
     import regex
 
     t = tokenizer(name)
     model, find, plain = t.model, regex.compile(PATTERN).findall, regex.compile("[\x00-ɏ]*").fullmatch
     special = [s.content for s in t.get_added_tokens_decoder().values()]
     encode = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    words = Cache(lambda w: np.array([x.id for x in merge(model, w)], dtype="<u4").tobytes(), 200_000)
+    #: Characters that Python takes for white space and the vocabulary's pattern doesn't.
+    odd = [chr(c) for c in range(0x1C, 0x20)]
+    words = Cache(lambda w: np.array([x.id for x in merge(model, w)], dtype="<u4").tobytes())
 
     def stretch(s: str) -> bytes:
-        if not plain(s) or any(x in s for x in special):
-            return encode(s)
-        return b"".join(map(words.__getitem__, find(s.lower())))
+        if s.isalpha():
+            return words[s]
+        if s[:-1].isalpha() and s[-1] in ".,;:!?":
+            return words[s[:-1]] + words[s[-1]]
+        return b"".join(map(words.__getitem__, find(s)))
 
     cache = Cache(stretch)
-    #: Characters that Python takes for white space and the vocabulary's pattern doesn't.
-    odd = [chr(c) for c in range(0x1C, 0x20)]
 
     def of_text(text: str) -> bytes:
-        if any(c in text for c in odd):
+        if not (text.isascii() or plain(text)) or any(c in text for c in odd) or any(x in text for x in special):
             return encode(text)
-        return b"".join(map(cache.__getitem__, text.split()))
+        return b"".join(map(cache.__getitem__, text.lower().split()))
 
     return of_text
 
@@ -233,7 +235,8 @@ def read_shards(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataF
     kind = manifest.schema["first_id"].dataType.simpleString()
     order = Window.orderBy(F.asc_nulls_first("first_id"), "first_hash", "seq")
     based = manifest.select("first_id", "first_hash", "seq", "file", "tokens").withColumn("base", F.sum("tokens").over(order) - F.col("tokens"))
-    jobs = manifest.select("file", "ids").join(based.select("file", "base"), "file").repartition("file")
+    # a task for a few shards each, however small the manifest is
+    jobs = manifest.select("file", "ids").join(based.select("file", "base"), "file").repartition(manifest.count() // 4 + 1, "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _open(path)
