@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import table
+from lorespark.llm.common import stored, table
 
 RUN, LONG = 3, 50
 WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -47,6 +47,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.expr(f"transform(sequence(-{reach}, {reach}), o -> CASE WHEN k.at + o >= 0 THEN get(h, k.at + o) END)").alias("near"),
         F.expr(f"transform(sequence(-{reach}, {reach}), o -> CASE WHEN k.at + o >= 0 THEN get(n, k.at + o) END)").alias("lines"),
     )
+    marks = stored(marks, "fingerprints")  # read twice: for the first occurrences and for the join
     first = marks.groupBy("len", "mark", "w").agg(F.min(F.struct("id", "th", "at", "near")).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
     pairs = marks.join(first, ["len", "mark", "w"]).filter("NOT (struct(id, th, at) <=> struct(f.id, f.th, f.at))")
     # offsets from the fingerprint, one way and the other, up to the first difference
