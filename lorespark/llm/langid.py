@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import bounded_batches, stored, table
 
-BUCKETS, DIM, SAMPLE, EPOCHS, RATE, BATCH, SEED = 1 << 13, 16, 4000, 20, 0.6, 64, 7
-REJECT, FLOOR, UNKNOWN = 0.001, 0.6, "und"
+BUCKETS, DIM, SAMPLE, EPOCHS, RATE, BATCH, SEED = 1 << 13, 16, 1500, 30, 0.6, 64, 7
+REJECT, FLOOR, UNKNOWN = 0.001, 0.4, "und"
 #: A text is hashed this many bytes at a time.
 PIECE = 1 << 20
 #: ASCII characters other than letters end a word.
@@ -88,7 +88,7 @@ def fit(features: list[np.ndarray], labels: list[str], seed: int = SEED) -> Mode
     rng = np.random.default_rng(seed)
     emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     y = np.searchsorted(langs, labels)
-    mean = [(f[0], (f[1] / max(1, f[1].sum()))[:, None]) for f in features]
+    mean = [(f[0], (f[1] / max(1, f[1].sum())).astype(np.float32)[:, None]) for f in features]
     order = rng.permutation(len(y))
     held, taught = order[: len(y) // 5], order[len(y) // 5 :]
     for epoch in range(EPOCHS):
