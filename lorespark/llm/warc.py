@@ -33,8 +33,9 @@ from lorespark.llm.common import bounded_batches, table
 
 VERSION = b"WARC/1.1"
 GONE = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html|blockquote|pre)\b[^>]*>", re.I)
-TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<!doctype[^>]*>", re.I)
+TAG = re.compile(r"<[/!?]?([a-zA-Z][a-zA-Z0-9]*)[^>]*>")
+#: Elements that stand on lines of their own.
+BLOCKS = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer title head body html blockquote pre".split())
 COLUMNS = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long, block string, record binary"
 
 
@@ -99,8 +100,9 @@ def records(data: bytes) -> Iterator[bytes]:
         at = after
 
 
-def plain_text(markup: str) -> str:
-    text = html.unescape(TAG.sub(" ", BREAK.sub("\n", GONE.sub(" ", markup))))
+def plain_text(clean: str) -> str:
+    """The text of markup from which GONE is gone."""
+    text = html.unescape(TAG.sub(lambda m: "\n" if m[1].lower() in BLOCKS else " ", clean))
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
 
 
@@ -130,13 +132,13 @@ def derive(data: bytes) -> list[dict]:
     meta += [("payload-digest-verified", "no source digest" if not given else "yes" if same_digest(given, body) else f"no, is {digest(body)}")]
     meta += [(f"source-{k.lower()}", v) for k, v in headers]
     meta += [("outlink", html.unescape(x)) for x in re.findall(r"<a\b[^>]*\bhref=[\"']([^\"']*)", clean, re.I)]
-    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(markup).encode("utf-8", "replace"))]
+    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(clean).encode("utf-8", "replace"))]
     out = []
     for name, content, data in made:
         own = [("WARC-Type", name), ("WARC-Record-ID", record_id(source, name)), ("WARC-Refers-To", source)]
         own += [(k, of[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest") if k.lower() in of]
-        own += [("WARC-Block-Digest", digest(data)), ("Content-Type", content)]
-        out.append({"record_type": name, "record_id": own[1][1], "refers_to": source, "target_uri": of.get("warc-target-uri"), "date": of.get("warc-date"), "content_type": content, "payload_digest": given, "block_digest": digest(data), "content_length": len(data), "block": data.decode(), "record": serialize(own, data)})
+        own += [("WARC-Block-Digest", of_block := digest(data)), ("Content-Type", content)]
+        out.append({"record_type": name, "record_id": own[1][1], "refers_to": source, "target_uri": of.get("warc-target-uri"), "date": of.get("warc-date"), "content_type": content, "payload_digest": given, "block_digest": of_block, "content_length": len(data), "block": data.decode(), "record": serialize(own, data)})
     return out
 
 
@@ -166,7 +168,8 @@ def derivatives(rows: DataFrame, key_col: str, record_col: str) -> DataFrame:
 
 def responses(pages: DataFrame) -> DataFrame:
     """(page_id, record): each page as the response record a crawler would have written."""
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    body = F.col("html")
     head = F.encode(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), "UTF-8")
     hex_id = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))))
     urn = F.regexp_replace(hex_id, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
