@@ -3,6 +3,8 @@
 from lorespark.config import STOP_BIGRAMS
 
 SPACE = r"[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+#: The characters of SPACE.
+WHITE = "\\t\\n\\u000b\\u000c\\r\\u001c\\u001d\\u001e\\u001f \\u0085\\u00a0\\u1680" + "".join(f"\\u{c:04x}" for c in range(0x2000, 0x200B)) + "\\u2028\\u2029\\u202f\\u205f\\u3000"
 BULLET = r"^(?:[-*•▪◦]|(?:(?U)\\d+(?-U)|[A-Za-z])[.)])" + SPACE + "+"
 ENDS = "。？！.?!;；:"
 STOPS = ", ".join(f"'{w}'" for w in STOP_BIGRAMS)
@@ -10,7 +12,12 @@ STOPS = ", ".join(f"'{w}'" for w in STOP_BIGRAMS)
 
 def strip(x: str) -> str:
     """Without white space (of any script) at both ends."""
-    return rf"regexp_replace({x}, '^{SPACE}+|{SPACE}+\\z', '')"
+    return f"trim(BOTH '{WHITE}' FROM {x})"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """body, with name standing for value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def normalized(x: str) -> str:
@@ -37,13 +44,13 @@ def clean_heading(x: str) -> str:
 def section_heading(x: str, fallback: str = "''") -> str:
     """The last marked heading, else the last heading-like line, else the fallback, cleaned."""
     lines = rf"filter(transform(filter(transform(split({x}, '\n', -1), hl -> {strip('hl')}), hl -> hl <> ''), hl -> named_struct('s', hl, 'c', {clean_heading('hl')})), hl -> hl.c <> '' AND NOT {is_bullet('hl.c')})"
-    marked = f"transform(filter({lines}, hl -> startswith(hl.s, '#')), hl -> hl.c)"
-    like = f"transform(filter({lines}, hl -> NOT startswith(hl.s, '#') AND {is_heading('hl.c')}), hl -> hl.c)"
-    return f"coalesce(try_element_at({marked}, -1), try_element_at({like}, -1), {clean_heading(fallback)})"
+    marked = "try_element_at(filter(hls, hl -> startswith(hl.s, '#')), -1).c"
+    like = f"try_element_at(filter(hls, hl -> NOT startswith(hl.s, '#') AND {is_heading('hl.c')}), -1).c"
+    return let("hls", lines, f"coalesce({marked}, {like}, {clean_heading(fallback)})")
 
 
 def alnum(x: str) -> str:
-    return rf"length(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', ''))"
+    return rf"length(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ''))"
 
 
 def meaningful(x: str) -> str:

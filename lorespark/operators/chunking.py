@@ -11,12 +11,11 @@ NONE = "CAST(array() AS array<string>)"
 
 
 def segments(x: str) -> str:
-    """Headings and bullets alone, other lines joined until a blank one."""
-    flushed = "IF(a.cur = '', a.o, array_append(a.o, a.cur))"
-    step = f"""CASE WHEN l = '' THEN named_struct('o', {flushed}, 'cur', '')
-        WHEN {T.is_heading('l')} OR {T.is_bullet('l')} THEN named_struct('o', array_append({flushed}, l), 'cur', '')
-        ELSE named_struct('o', a.o, 'cur', IF(a.cur = '', l, concat(a.cur, ' ', l))) END"""
-    return f"aggregate(split({T.normalized(x)}, '\\n', -1), named_struct('o', {NONE}, 'cur', ''), (a, l) -> {step}, a -> {flushed})"
+    """Headings and bullets alone, other lines joined until a blank one. Lines hold no line end, so line ends mark the
+    cuts: one split does it, in time that follows the length of the text."""
+    marked = f"IF(l = '', '\\n', IF({T.is_heading('l')} OR {T.is_bullet('l')}, concat('\\n', l, '\\n'), l))"
+    joined = f"array_join(transform(split({T.normalized(x)}, '\\n', -1), l -> {marked}), ' ')"
+    return f"filter(split({joined}, ' *\\n[ \\n]*', -1), sx -> sx <> '')"
 
 
 def long_pieces(x: str, size: int, overlap: int) -> str:
@@ -26,8 +25,8 @@ def long_pieces(x: str, size: int, overlap: int) -> str:
     step = f"""CASE WHEN length({candidate}) <= {size} THEN named_struct('o', b.o, 'cur', {candidate})
         WHEN b.cur <> '' THEN named_struct('o', array_append(b.o, b.cur), 'cur', ls)
         ELSE named_struct('o', concat(b.o, {T.windows('ls', size, overlap)}), 'cur', '') END"""
-    packed = f"aggregate({T.sentences(x)}, named_struct('o', {NONE}, 'cur', ''), (b, ls) -> {step}, b -> IF(b.cur = '', b.o, array_append(b.o, b.cur)))"
-    return f"IF(size({T.sentences(x)}) <= 1, {T.windows(x, size, overlap)}, {packed})"
+    packed = f"aggregate(sn, named_struct('o', {NONE}, 'cur', ''), (b, ls) -> {step}, b -> IF(b.cur = '', b.o, array_append(b.o, b.cur)))"
+    return T.let("sn", T.sentences(x), f"IF(size(sn) <= 1, {T.windows(x, size, overlap)}, {packed})")
 
 
 def overlap_seed(x: str, overlap: int) -> str:
@@ -52,10 +51,10 @@ def chunks(x: str, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chun
 def chunk_documents(docs: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """docs (doc_id, title, source_path, text): one row a chunk, with chunk_id, order from 1 and section_heading. A
     text without chunks is one chunk if it is a brief but meaningful one, and else none."""
-    whole = T.normalized("text")
-    rows = docs.filter(F.expr(f"{T.strip('text')} <> ''")).withColumn("parts", F.expr(chunks("text", size, overlap)))
-    rows = rows.withColumn("parts", F.expr(f"CASE WHEN size(parts) > 0 THEN parts WHEN {T.brief(whole)} THEN array({whole}) ELSE {NONE} END"))
-    rows = rows.select("doc_id", "title", "source_path", F.posexplode("parts").alias("pos", "text"))
+    alone = T.let("wt", T.normalized("text"), f"IF({T.brief('wt')}, array(wt), {NONE})")
+    parts = T.let("ps", chunks("text", size, overlap), f"IF(size(ps) > 0, ps, {alone})")
+    # the outer form, as for the other one the optimizer adds a filter that works the chunks out again
+    rows = docs.select("doc_id", "title", "source_path", F.posexplode_outer(F.expr(parts)).alias("pos", "text")).filter("pos IS NOT NULL")
     return rows.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-"), (F.col("pos") + 1).cast("string")).alias("chunk_id"), "doc_id", "title", "source_path",
         (F.col("pos") + 1).alias("order"), "text", F.expr(T.section_heading("text")).alias("section_heading"),

@@ -27,7 +27,8 @@ class Index:
 
 def build_index(chunks: DataFrame) -> Index:
     split = chunks.select("chunk_sk", F.expr(T.tokens("text")).alias("ts"), "title", "heading")
-    postings = split.select("chunk_sk", F.explode("ts").alias("token")).groupBy("chunk_sk", "token").agg(F.count("*").alias("tf"))
+    # the outer form, as for the other one the optimizer adds a filter that makes all tokens again
+    postings = split.select("chunk_sk", F.explode_outer("ts").alias("token")).filter("token IS NOT NULL").groupBy("chunk_sk", "token").agg(F.count("*").alias("tf"))
     heading = "concat_ws(' ', nullif(heading, ''), nullif(title, ''))"
     stats = split.select("chunk_sk", F.size("ts").cast("long").alias("dl"), F.expr(f"array_distinct({T.tokens(heading)})").alias("heading_tokens"), F.lower("title").alias("title_lc"))
     return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
@@ -47,11 +48,14 @@ def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_scor
         raise ValueError("min_score has to be positive")
     asked = few(questions.select("query_id", F.explode(F.expr(f"array_distinct({T.tokens('text')})")).alias("token")))
     per = questions.select("query_id", F.expr(f"size(filter(array_distinct({T.tokens('text')}), t -> t RLIKE '^[a-z0-9_+\\\\-]{{3,}}$'))").alias("n_ascii"))
-    known = asked.join(index.frequencies, "token").crossJoin(F.broadcast(index.corpus))
+    # only postings of tokens asked for are counted and shuffled; what makes df needs tf, so both uses share one shuffle
+    wanted = index.postings.join(few(asked.select("token").distinct()), "token", "left_semi")
+    frequencies = wanted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    known = asked.join(frequencies, "token").crossJoin(F.broadcast(index.corpus))
     known = known.select("query_id", "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.col("token").rlike(r"^[a-z0-9_+\-]{3,}$").cast("int").alias("ascii"))
     dl = F.greatest(F.col("dl"), F.lit(1))
     norm = F.col("tf") + SETTINGS.k1 * ((1 - SETTINGS.b) + SETTINGS.b * dl / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    body = index.postings.join(known, "token").join(index.stats.select("chunk_sk", "dl"), "chunk_sk")
+    body = wanted.join(known, "token").join(index.stats.select("chunk_sk", "dl"), "chunk_sk")
     body = body.groupBy("query_id", "chunk_sk").agg(F.sum(F.col("idf") * F.col("tf") * (SETTINGS.k1 + 1) / norm).alias("bm25"), F.sum("ascii").alias("hits"))
     heads = index.stats.select("chunk_sk", F.explode("heading_tokens").alias("token")).join(asked, "token").groupBy("query_id", "chunk_sk").agg(F.count("*").alias("heading_hits"))
     titles = index.stats.select("title_lc").distinct().join(few(asked.filter("length(token) > 1")), F.expr("contains(title_lc, token)")).select("query_id", "title_lc").distinct()

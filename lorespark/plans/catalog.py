@@ -33,9 +33,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy on each text: a table of fewer files than cores is dealt to all of them."""
+    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "text", "source"), spark.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(4 * cores)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: title of three words, no heading."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select(F.col("doc_id").alias("chunk_sk"), F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("title"), F.lit("").alias("heading"), "text", "source")
 
 
@@ -193,7 +199,8 @@ g AS (SELECT *, sum(CASE WHEN alone OR line = '' THEN 1 ELSE 0 END) OVER w + sum
 s AS (SELECT doc_id, coalesce(grp, CASE WHEN alone THEN 1 ELSE 0 END) AS grp, string_agg(line, ' ' ORDER BY i) AS segment FROM g WHERE line <> '' GROUP BY ALL)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS pos, segment FROM s""")
 def segments(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(F.expr(chunking.segments("text"))).alias("pos", "segment"))
+    rows = texts(spark, d).select("doc_id", F.posexplode_outer(F.expr(chunking.segments("text"))).alias("pos", "segment"))
+    return rows.filter("pos IS NOT NULL")
 
 
 @query("sentence_split", rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?;；:])[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM documents)
@@ -217,7 +224,7 @@ def meaningful_lines(spark, d):
 
 
 def titled(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "source")
+    return texts(spark, d).select("doc_id", F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "source")
 
 
 @query("chunk_documents")
