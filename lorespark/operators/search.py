@@ -1,8 +1,10 @@
 """Inverted statistics of chunks, and a BM25 variant that scores many questions at once.
 
-Chunks have chunk_sk, title, heading and text. A question's rows meet postings by token, so work follows the tokens
-asked for; statistics of the corpus are one row. Scores are rounded before they are compared, so ties don't
-depend on the order of summation. Questions are broadcast only while they are few (MOST_TOKENS rows)."""
+Chunks have chunk_sk, title, heading and text. One pass over the chunks finds everything that a batch of questions
+shares with them: body tokens, heading tokens and substrings of titles meet the tokens asked for, and what is left is
+counted by chunk, so the work and the shuffle follow the tokens asked for. Frequencies, statistics of the corpus
+and scores all come from those counts (one exchange, read three times). Scores are rounded before they are compared,
+so ties don't depend on the order of summation. Questions are broadcast only while they are few (MOST_TOKENS rows)."""
 
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ class Index:
     frequencies: DataFrame  # token, df
     stats: DataFrame  # chunk_sk, dl, heading_tokens, title_lc
     corpus: DataFrame  # n, avgdl
+    chunks: DataFrame  # what they are made of
 
 
 def build_index(chunks: DataFrame) -> Index:
@@ -31,12 +34,31 @@ def build_index(chunks: DataFrame) -> Index:
     postings = split.select("chunk_sk", F.explode_outer("ts").alias("token")).filter("token IS NOT NULL").groupBy("chunk_sk", "token").agg(F.count("*").alias("tf"))
     heading = "concat_ws(' ', nullif(heading, ''), nullif(title, ''))"
     stats = split.select("chunk_sk", F.size("ts").cast("long").alias("dl"), F.expr(f"array_distinct({T.tokens(heading)})").alias("heading_tokens"), F.lower("title").alias("title_lc"))
-    return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), chunks)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small."""
-    return F.broadcast(df) if df.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS else df
+def title_parts(x: str, longest: int) -> str:
+    """Every substring of a lower-cased title that could be a token of 2 to longest characters: parts of its ASCII
+    runs and pairs of its Chinese characters. Tokens meet them by equality, so no title is compared with all tokens."""
+    parts = f"flatten(transform(sequence(1, length(r) - 1), i -> transform(sequence(2, greatest(2, least({longest}, length(r) - i + 1))), n -> substring(r, i, n))))"
+    runs = rf"flatten(transform(regexp_extract_all({x}, '[a-z0-9_+\\-]{{2,}}', 0), r -> {parts}))"
+    pairs = f"flatten(transform(regexp_extract_all({x}, '[一-鿿]{{2,}}', 0), r -> transform(sequence(1, length(r) - 1), i -> substring(r, i, 2))))"
+    return f"array_distinct(concat({runs}, {pairs}))"
+
+
+def matches(chunks: DataFrame, tokens: DataFrame, longest: int) -> DataFrame:
+    """(chunk_sk, dl, kind, token, tf): how often a chunk has each of the tokens in its body (kind b), heading (h) or
+    title (t), and a row of kind n and token '' for every chunk. tokens (token) are distinct and contain ''."""
+    heading = "concat_ws(' ', nullif(heading, ''), nullif(title, ''))"
+    split = chunks.select(
+        "chunk_sk", F.expr(f"coalesce({T.tokens('text')}, CAST(array() AS array<string>))").alias("ts"),
+        F.expr(f"array_distinct({T.tokens(heading)})").alias("hs"), F.expr(title_parts("lower(coalesce(title, ''))", longest)).alias("ps"),
+    )
+    of = lambda kind, xs: f"transform({xs}, x -> named_struct('kind', '{kind}', 'token', x))"
+    every = f"concat({of('b', 'ts')}, {of('h', 'hs')}, {of('t', 'ps')}, array(named_struct('kind', 'n', 'token', '')))"
+    # the outer form, as for the other one the optimizer adds a filter that makes all tokens again
+    rows = split.select("chunk_sk", F.size("ts").cast("long").alias("dl"), F.explode_outer(F.expr(every)).alias("m")).select("chunk_sk", "dl", "m.kind", "m.token")
+    return rows.join(tokens, "token", "left_semi").groupBy("chunk_sk", "dl", "kind", "token").agg(F.count("*").alias("tf"))
 
 
 def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_score: float = SETTINGS.min_score, title_boost: float = SETTINGS.title_boost, adjust: bool = True) -> DataFrame:
@@ -46,25 +68,27 @@ def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_scor
     min_score has to be positive."""
     if min_score <= 0:
         raise ValueError("min_score has to be positive")
-    asked = few(questions.select("query_id", F.explode(F.expr(f"array_distinct({T.tokens('text')})")).alias("token")))
-    per = questions.select("query_id", F.expr(f"size(filter(array_distinct({T.tokens('text')}), t -> t RLIKE '^[a-z0-9_+\\\\-]{{3,}}$'))").alias("n_ascii"))
-    # only postings of tokens asked for are counted and shuffled; what makes df needs tf, so both uses share one shuffle
-    wanted = index.postings.join(few(asked.select("token").distinct()), "token", "left_semi")
-    frequencies = wanted.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    known = asked.join(frequencies, "token").crossJoin(F.broadcast(index.corpus))
-    known = known.select("query_id", "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.col("token").rlike(r"^[a-z0-9_+\-]{3,}$").cast("int").alias("ascii"))
-    dl = F.greatest(F.col("dl"), F.lit(1))
-    norm = F.col("tf") + SETTINGS.k1 * ((1 - SETTINGS.b) + SETTINGS.b * dl / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    body = wanted.join(known, "token").join(index.stats.select("chunk_sk", "dl"), "chunk_sk")
-    body = body.groupBy("query_id", "chunk_sk").agg(F.sum(F.col("idf") * F.col("tf") * (SETTINGS.k1 + 1) / norm).alias("bm25"), F.sum("ascii").alias("hits"))
-    heads = index.stats.select("chunk_sk", F.explode("heading_tokens").alias("token")).join(asked, "token").groupBy("query_id", "chunk_sk").agg(F.count("*").alias("heading_hits"))
-    titles = index.stats.select("title_lc").distinct().join(few(asked.filter("length(token) > 1")), F.expr("contains(title_lc, token)")).select("query_id", "title_lc").distinct()
-    titled = index.stats.select("chunk_sk", "title_lc").join(titles, "title_lc").select("query_id", "chunk_sk", F.lit(title_boost).alias("title"))
-    rows = body.join(heads, ["query_id", "chunk_sk"], "full").join(titled, ["query_id", "chunk_sk"], "full").join(few(per), "query_id")
-    base, hits = F.coalesce("bm25", F.lit(0.0)), F.coalesce("hits", F.lit(0))
-    adjusted = F.when(F.col("n_ascii") == 0, base).when(hits == 0, base * SETTINGS.ascii_penalty).otherwise(base + SETTINGS.ascii_bonus * hits)
-    heading_hits = F.coalesce("heading_hits", F.lit(0)).cast("int")
-    score = (adjusted if adjust else base) + SETTINGS.heading_boost * heading_hits + F.coalesce("title", F.lit(0.0))
-    scored = rows.select("query_id", "chunk_sk", F.round(score, 6).alias("score"), heading_hits.alias("heading_hits")).filter(F.col("score") >= min_score)
+    ascii = "RLIKE '^[a-z0-9_+\\\\-]{3,}$'"
+    sets = questions.select("query_id", F.expr(f"array_distinct({T.tokens('text')})").alias("ts"))
+    asked = sets.select("query_id", F.expr(f"size(filter(ts, t -> t {ascii}))").alias("n_ascii"), F.explode_outer("ts").alias("token")).filter("token IS NOT NULL")
+    n, longest = asked.agg(F.count("*"), F.max(F.length("token"))).first()
+    few = F.broadcast if n <= MOST_TOKENS else lambda df: df
+    none = asked.sparkSession.range(1).select(F.lit("").alias("token"))
+    found = matches(index.chunks, few(asked.select("token").distinct().union(none)), longest or 0)
+    # each use needs tf, so that all of them share the exchange of found
+    body = (F.col("kind") == "b") & (F.col("tf") > 0)
+    chunk = F.when(F.col("kind") == "n", F.col("tf"))
+    corpus = found.agg(F.sum(chunk).alias("n"), (F.sum(chunk * F.col("dl")) / F.sum(chunk)).alias("avgdl"))
+    known = asked.join(found.groupBy("token").agg(F.count_if(body).alias("df")), "token").crossJoin(F.broadcast(corpus))
+    known = known.select("query_id", "n_ascii", "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.expr(f"CAST(token {ascii} AS int)").alias("ascii"))
+    norm = F.col("tf") + SETTINGS.k1 * ((1 - SETTINGS.b) + SETTINGS.b * F.greatest(F.col("dl"), F.lit(1)) / F.greatest(F.col("avgdl"), F.lit(1.0)))
+    pairs = found.join(few(known), "token").groupBy("query_id", "chunk_sk").agg(
+        F.first("n_ascii").alias("n_ascii"), F.sum(F.when(body, F.col("idf") * F.col("tf") * (SETTINGS.k1 + 1) / norm).otherwise(0.0)).alias("base"),
+        F.sum(F.when(body, F.col("ascii")).otherwise(0)).alias("hits"), F.count_if(F.col("kind") == "h").cast("int").alias("heading_hits"),
+        F.max(F.when(F.col("kind") == "t", title_boost).otherwise(0.0)).alias("title"),
+    )
+    adjusted = F.when(F.col("n_ascii") == 0, F.col("base")).when(F.col("hits") == 0, F.col("base") * SETTINGS.ascii_penalty).otherwise(F.col("base") + SETTINGS.ascii_bonus * F.col("hits"))
+    score = (adjusted if adjust else F.col("base")) + SETTINGS.heading_boost * F.col("heading_hits") + F.col("title")
+    scored = pairs.select("query_id", "chunk_sk", F.round(score, 6).alias("score"), "heading_hits").filter(F.col("score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("heading_hits"), F.desc("score"), "chunk_sk")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

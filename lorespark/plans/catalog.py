@@ -42,7 +42,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: title of three words, no heading."""
     d = texts(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("chunk_sk"), F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("title"), F.lit("").alias("heading"), "text", "source")
+    return d.select(F.col("doc_id").alias("chunk_sk"), F.substring_index("text", " ", 3).alias("title"), F.lit("").alias("heading"), "text", "source")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ def meaningful_lines(spark, d):
 
 
 def titled(spark, d):
-    return texts(spark, d).select("doc_id", F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "source")
+    return texts(spark, d).select("doc_id", F.substring_index("text", " ", 3).alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "source")
 
 
 @query("chunk_documents")
