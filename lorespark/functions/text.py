@@ -80,3 +80,8 @@ def answer_sentences(x: str) -> str:
 def windows(x: str, size: int, overlap: int) -> str:
     """Overlapping pieces of a text, from every start."""
     return f"IF(length({x}) = 0, CAST(array() AS array<string>), filter(transform(sequence(0, length({x}) - 1, {max(size - overlap, 1)}), wi -> {strip(f'substring({x}, wi + 1, {size})')}), wi -> wi <> ''))"
+
+
+def escaped(x: str) -> str:
+    """Safe inside HTML, attributes included."""
+    return f"""replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""

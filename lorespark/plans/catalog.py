@@ -209,6 +209,23 @@ def sentence_split(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(F.expr(T.sentences("text"))).alias("pos", "sentence"))
 
 
+@query("answer_sentence_split", rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM documents)
+SELECT doc_id, (i - 1)::INT AS pos, ss[i] AS sentence FROM s, unnest(range(1, len(ss) + 1)) AS t(i)""")
+def answer_sentence_split(spark, d):
+    return texts(spark, d).select("doc_id", F.posexplode(F.expr(T.answer_sentences("text"))).alias("pos", "sentence"))
+
+
+@query("question_merge", rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?;；:])[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM documents),
+e AS (SELECT doc_id, i, ss[i] AS s, len(ss[i]) <= 36 AND regexp_matches(ss[i], '[？?]\z') AS q FROM s, unnest(range(1, len(ss) + 1)) AS t(i)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS run FROM e),
+m AS (SELECT *, q AND row_number() OVER (PARTITION BY doc_id, q, run ORDER BY i) % 2 = 1 AS first_ FROM r),
+g AS (SELECT *, coalesce(lag(first_) OVER (PARTITION BY doc_id ORDER BY i), false) AS taken FROM m),
+h AS (SELECT *, sum(CASE WHEN taken THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp FROM g)
+SELECT doc_id, (grp - 1)::INT AS pos, string_agg(s, ' ' ORDER BY i) AS sentence FROM h GROUP BY doc_id, grp""")
+def question_merge(spark, d):
+    return texts(spark, d).select("doc_id", F.posexplode(F.expr(answer.merged_questions(T.sentences("text")))).alias("pos", "sentence"))
+
+
 @query("sliding_windows", rf"""WITH w AS (SELECT doc_id, i, {strip('substring(text, i + 1, 420)')} AS piece FROM documents, unnest(range(0, len(text), 340)) AS t(i))
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, piece FROM w WHERE piece <> ''""")
 def sliding_windows(spark, d):
@@ -362,3 +379,8 @@ def upload_name_sanitize(spark, d):
     rows = literals(spark).select("i", F.regexp_extract("s", r"[^/\\]*$", 0).alias("b"))
     rows = rows.select("i", F.lower(F.regexp_extract("b", r"(\.[^.]+)$", 1)).alias("ext"), F.expr(r"""regexp_replace(regexp_replace(regexp_replace(b, '\\.[^.]+$', ''), '[<>:"/\\\\|?*]', '_'), '^[ ._]+|[ ._]+\\z', '')""").alias("stem"))
     return rows.select("i", F.expr("concat(IF(stem = '', 'course_material', stem), ext)").alias("name"))
+
+
+@query("escape_html", """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+def escape_html(spark, d):
+    return read(spark, d, "pages").select("page_id", F.expr(T.escaped("html")).alias("escaped"))
