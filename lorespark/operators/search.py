@@ -82,7 +82,8 @@ def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_scor
     known = asked.join(found.groupBy("token").agg(F.count_if(body).alias("df")), "token").crossJoin(F.broadcast(corpus))
     known = known.select("query_id", "n_ascii", "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.expr(f"CAST(token {ascii} AS int)").alias("ascii"))
     norm = F.col("tf") + SETTINGS.k1 * ((1 - SETTINGS.b) + SETTINGS.b * F.greatest(F.col("dl"), F.lit(1)) / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    pairs = found.join(few(known), "token").groupBy("query_id", "chunk_sk").agg(
+    # dealt by chunk while rows are few: all pairs of a chunk are then made, summed and ranked where they are
+    pairs = found.repartition("chunk_sk").join(few(known), "token").groupBy("query_id", "chunk_sk").agg(
         F.first("n_ascii").alias("n_ascii"), F.sum(F.when(body, F.col("idf") * F.col("tf") * (SETTINGS.k1 + 1) / norm).otherwise(0.0)).alias("base"),
         F.sum(F.when(body, F.col("ascii")).otherwise(0)).alias("hits"), F.count_if(F.col("kind") == "h").cast("int").alias("heading_hits"),
         F.max(F.when(F.col("kind") == "t", title_boost).otherwise(0.0)).alias("title"),
