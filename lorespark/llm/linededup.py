@@ -9,6 +9,8 @@ by as far as a window reaches; overlapping extensions chain along runs of any le
 line by itself, is a later repeated run and is deleted; its first occurrence stays.
 
 So a line goes exactly if it lies in RUN consecutive lines that stand earlier too, or is long and stands earlier.
+That keeps a repeated passage of two lines that are short each and long together; with `pair` words given, two
+consecutive lines with more than that many words are a window as well. The query and its SQL don't use it.
 Only built-in expressions run on the executors.
 
 Cases: a null text has no lines and stays null; blank lines aren't compared and stay. A text whose lines all go is
@@ -27,18 +29,20 @@ RUN, LONG = 3, 50
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: int = LONG) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: int = LONG, pair: int | None = None) -> DataFrame:
     """(id, n_lines, n_removed, text) of each row: the text without later repeated runs."""
+    two = pair is not None and run > 2  # shorter runs take every two lines anyway
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     seen = rows.filter("t IS NOT NULL").select("id", "th", F.expr(r"""
         transform(filter(transform(split(t, '\n', -1), (x, i) -> struct(i AS n, btrim(x) AS s)), x -> x.s <> ''),
-                  x -> struct(x.n AS n, xxhash64(x.s) AS h, regexp_count(x.s, '%s') >= %d AS long))""" % (WORD, long)).alias("a"))
+                  x -> struct(x.n AS n, xxhash64(x.s) AS h, %s))""" % ", ".join([f"regexp_count(x.s, '{WORD}') >= {long} AS long"] + [f"regexp_count(x.s, '{WORD}') AS c"] * two)).alias("a"))
     # a line's windows: it begins one of `run` lines, and one of its own if it is long; `at` is the fingerprint's place
     spots = ", ".join(f"struct(get(a.h, p + {o}) AS h, -{o} AS o)" for o in range(run))
     least = f"-array_min(array({spots})).o" if run > 1 else "0"
-    each = seen.select("id", "th", F.col("a.h").alias("h"), F.col("a.n").alias("n"), F.posexplode("a").alias("p", "x"))
+    each = seen.select("id", "th", F.col("a.h").alias("h"), F.col("a.n").alias("n"), *[F.col("a.c").alias("c")] * two, F.posexplode("a").alias("p", "x"))
     each = each.withColumn("a", F.struct("h"))
-    kinds = F.expr(f"""filter(array(
+    both = "CASE WHEN p + 2 <= size(h) AND get(c, p) + get(c, p + 1) > %d THEN struct(2 AS len, p AS at, xxhash64(get(h, p), get(h, p + 1)) AS w) END," % pair if two else ""
+    kinds = F.expr(f"""filter(array({both}
         CASE WHEN p + {run} <= size(h) THEN struct({run} AS len, p + {least} AS at, xxhash64({', '.join(f'get(h, p + {o})' for o in range(run))}) AS w) END,
         CASE WHEN x.long THEN struct(1 AS len, p AS at, x.h AS w) END), k -> k IS NOT NULL)""")
     reach = run - 1
@@ -54,7 +58,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     far = lambda sign: F.expr(f"coalesce(array_min(filter(sequence(1, {reach}), o -> NOT coalesce(near[{reach} + {sign} * o] = f.near[{reach} + {sign} * o], false))), {run}) - 1") if reach else F.lit(0)
     matched = pairs.select("id", "th", "len", "lines", far(-1).alias("left"), far(1).alias("right"))
     matched = matched.withColumn("all", F.expr(f"left + right + 1 >= {run}"))
-    gone = matched.select("id", "th", F.explode(F.expr(f"slice(lines, {run} - IF(all, left, 0), 1 + IF(all, left + right, 0))")).alias("n"))
+    gone = matched.select("id", "th", F.explode(F.expr(f"slice(lines, {run} - IF(all, left, 0), IF(all, 1 + left + right, len))")).alias("n"))
     gone = gone.distinct().groupBy("id", "th").agg(F.collect_list("n").alias("gone")).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.expr(r"array_join(filter(split(t, '\n', -1), (x, i) -> NOT array_contains(gone, i)), '\n')"))

@@ -33,3 +33,31 @@ def test_repeated_rows_and_null_ids(spark):
 @pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
 def test_query(spark, d):
     same(D.op4_line_dedup(spark, f"/root/testdata/{d}"), *sql_rows(D.SQL, f"/root/testdata/{d}"))
+
+
+def with_pairs(rows, pair):
+    """Lines left of each text, by the rule itself."""
+    seen, out = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        at = [n for n, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for p in range(len(at)):
+            for size in (1, 2, 3):
+                w = [lines[n].strip() for n in at[p : p + size]]
+                words = sum(len(x.split()) for x in w)
+                if len(w) == size and (size == 3 or size == 2 and words > pair or size == 1 and words >= 50):
+                    gone |= set(at[p : p + size]) if tuple(w) in seen else set()
+                    seen.add(tuple(w))
+        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+def test_two_lines_that_are_long_together(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}"), (3, f"x\n{a}\n\n {b}\ny"), (4, a), (5, f"{b}\n{a}"), (6, f"{a}\nz"), (7, f"z\n{a}\n{b}\nz\n{a}\n{b}")]
+    rng = random.Random(6)
+    rows += [(i, "\n".join(rng.choice([a, b, "q", "r s", ""]) for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in D.line_dedup(df, pair=50).collect()}
+    assert got[2] == "" and got[3] == "x\n\ny" and got[4] == a and got == with_pairs(rows, 50)
