@@ -32,7 +32,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return wavelet.token_output(docs)
+    """The shards to train from follow the order of docs, the curriculum; the rows returned are those of op5, read
+    back from shards in the order of ids. `_lorespark_training` is the manifest and folder of the former."""
+    training = wavelet.training_shards(docs)
+    out = wavelet.token_output(docs)
+    out._lorespark_training = training
+    return out
 
 
 STAGES = [
@@ -47,5 +52,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        docs = stored(out, name)
+    docs._lorespark_training = out._lorespark_training
     return docs

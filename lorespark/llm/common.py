@@ -53,6 +53,19 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a string column that sorts as docs are ordered: rows read from files by part number, file and place
+    in the file (a scan deals files by size, so its partitions don't tell), others by partition and place in it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return docs.withColumn(name, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    file = F.col("_metadata.file_name")
+    part = F.lpad(F.regexp_extract(file, r"^part-(\d+)", 1), 10, "0")
+    return docs.withColumn(name, F.concat_ws("/", part, file, F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): a row (node, root) for every node but the roots, where root is
     the smallest node reachable.

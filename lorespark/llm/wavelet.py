@@ -9,7 +9,7 @@ occurrence costs its path through the planes, not the shard.
 access(i), rank(token, i), select(token, k), count(token) and occurrences(token) work on the planes; decode()
 inverts the whole matrix plane by plane.
 
-Documents are range-sorted by id and each task cuts its range into shards of about SHARD tokens (a document stays
+Documents are range-sorted by id, or by a column the caller names, and each task cuts its range into shards of about SHARD tokens (a document stays
 in one shard). A shard's name is the hash of what it holds, so a task that runs again writes the same files.
 
 Cases: a null or empty text holds the end id alone. Rows with the same id are separate documents, ordered by text.
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import bounded_batches, new_path, stored, table
+from lorespark.llm.common import bounded_batches, in_order, new_path, stored, table
 from lorespark.llm.tokens import Cache, merge, tokenizer
 
 #: Public pre-tokenization pattern of the vocabulary with word ends (fixed value).
@@ -183,9 +183,9 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs in ascending id order as shard files under path; returns the manifest, a stored table (first
-    id and text hash, position in its task, file, tokens)."""
+def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", order: str | None = None) -> DataFrame:
+    """Write docs in ascending id order, or in that of the string column `order`, as shard files under path; returns
+    the manifest, a stored table (place in `order`, first id and text hash, position in its task, file, tokens)."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
         def flush() -> pa.RecordBatch:
             starts = np.cumsum([0, *(len(h) // 4 for h in held)])
             data = build(np.frombuffer(b"".join(held), dtype="<u4"), starts)
-            name = f"{zlib.crc32(repr(ids).encode()):08x}{zlib.crc32(data):08x}-{first[1] & 0xFFFFFFFFFFFFFFFF:016x}-{seq}.lswm"
+            name = f"{zlib.crc32(repr(ids + [first[2]] * bool(order)).encode()):08x}{zlib.crc32(data):08x}-{first[1] & 0xFFFFFFFFFFFFFFFF:016x}-{seq}.lswm"
             store, at = _open(path)
             store.create_dir(at, recursive=True)
             import uuid
@@ -206,15 +206,15 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
             with store.open_output_stream(temp, compression=None) as f:
                 f.write(data)
             store.move(temp, f"{at}/{name}")
-            columns = [pa.array([first[0]], type=id_type), pa.array([first[1]]), pa.array([seq], type=pa.int64()), pa.array([name]), pa.array([int(starts[-1])], type=pa.int64()), pa.array([list(ids)], type=pa.list_(id_type))]
-            return pa.RecordBatch.from_arrays(columns, names=["first_id", "first_hash", "seq", "file", "tokens", "ids"])
+            columns = [pa.array([first[0]], type=id_type), pa.array([first[1]]), pa.array([seq], type=pa.int64()), pa.array([name]), pa.array([int(starts[-1])], type=pa.int64()), pa.array([list(ids)], type=pa.list_(id_type)), pa.array([first[2]])]
+            return pa.RecordBatch.from_arrays(columns, names=["first_id", "first_hash", "seq", "file", "tokens", "ids", "place"])
 
         id_type = None
         for b in batches:
             id_type = b.column(0).type
-            for i, t, h in zip(b.column(0), b.column(1), b.column(2)):
+            for i, t, h, *o in zip(*b.columns):
                 raw = (encode(t.as_py()) if t.as_py() else b"") + tail
-                first = first or (i.as_py(), h.as_py())
+                first = first or (i.as_py(), h.as_py(), o[0].as_py() if o else "")
                 held.append(raw)
                 ids.append(i.as_py())
                 size += len(raw) // 4
@@ -224,17 +224,18 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    ordered = rows.repartitionByRange(F.asc_nulls_first("i"), "h").sortWithinPartitions(F.asc_nulls_first("i"), "h")
-    return stored(ordered.mapInArrow(run, f"first_id {kind}, first_hash long, seq long, file string, tokens long, ids array<{kind}>"), "manifest")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), *([F.col(order).alias("o")] if order else []))
+    by = [F.asc("o")] if order else [F.asc_nulls_first("i"), F.asc("h")]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stored(ordered.mapInArrow(run, f"first_id {kind}, first_hash long, seq long, file string, tokens long, ids array<{kind}>, place string"), "manifest")
 
 
 def read_shards(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from the files of a manifest. The manifest has one row
     for SHARD tokens, so the running sum over it is a small job of one task."""
     kind = manifest.schema["first_id"].dataType.simpleString()
-    order = Window.orderBy(F.asc_nulls_first("first_id"), "first_hash", "seq")
-    based = manifest.select("first_id", "first_hash", "seq", "file", "tokens").withColumn("base", F.sum("tokens").over(order) - F.col("tokens"))
+    order = Window.orderBy("place", F.asc_nulls_first("first_id"), "first_hash", "seq")
+    based = manifest.select("place", "first_id", "first_hash", "seq", "file", "tokens").withColumn("base", F.sum("tokens").over(order) - F.col("tokens"))
     # a task for a few shards each, however small the manifest is
     jobs = manifest.select("file", "ids").join(based.select("file", "base"), "file").repartition(manifest.count() // 4 + 1, "file")
 
@@ -258,5 +259,11 @@ def token_output(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return read_shards(write_shards(docs, path, vocabulary), path)
 
 
+def training_shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
+    """Write docs to shards in the order they come in; returns what read_shards takes: the manifest and the folder."""
+    path = new_path(docs.sparkSession, "training")
+    return write_shards(in_order(docs, "__order"), path, vocabulary, order="__order"), path
+
+
 def op5_wavelet_tokens(spark, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents").select("doc_id", "text"))
