@@ -1,10 +1,10 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Two independent codebooks, one for each half of the unit vectors, form a grid of K x K cells; every vector lies in
-the cell of its nearest centroids. A query visits cells in the order of the sum of its two distances
-(multi-sequence traversal) and stops where the target recall is reached: MARGIN calibration draws vectors at
-exactly the threshold cosine from sampled ones and takes the quantile TARGET of how far beyond the nearest cell
-theirs lies. All vectors with cosine >= THRESHOLD (0.9) in visited cells, verified in double precision, are links. A
+the cell of its nearest centroids. A query visits all cells whose sum of two distances is within a limit: MARGIN
+calibration draws vectors at exactly the threshold cosine from sampled ones and takes the quantile TARGET of how far
+beyond the nearest cell theirs lies. Those are the cells that a multi-sequence traversal (traverse()) yields until
+it passes the limit; the query compares all centroids with it and doesn't traverse. All vectors with cosine >= THRESHOLD (0.9) in visited cells, verified in double precision, are links. A
 pair is linked if either of the two visits the other's cell, so the recall of pairs is higher than TARGET; links
 are symmetric.
 
