@@ -15,8 +15,9 @@ streams queries past it. Only counts and a forest of the linked classes leave a
 Distances to centroids are whole numbers, exact in any order of summation, so both sides of a pair agree on
 who visits whom.
 
-Cases: vectors that are null, zero, hold a null or non-finite component, or have another length than most link with
-nothing. A null vec_id takes no part: no links, null component, not kept. Rows that repeat a vec_id are rows of one
+Each length of vectors has an index of its own. Vectors of different lengths don't link.
+
+Cases: vectors that are null, zero or hold a null or non-finite component link with nothing. A null vec_id takes no part: no links, null component, not kept. Rows that repeat a vec_id are rows of one
 node. Copies link with each other. An empty table gives an empty result. Other columns are not read."""
 
 from __future__ import annotations
@@ -197,21 +198,10 @@ def _searched(index: Index, threshold: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """(id, n_links, component_id, kept) of each row."""
-    spark = rows.sparkSession
-    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sane = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    ok = all_rows.filter(F.col("id").isNotNull()).filter(F.coalesce(sane, F.lit(False)))
-    most = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    none = all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if most is None:
-        return none
-    ok = ok.filter(F.size("v") == most["d"])
-    # a copy is told by its numbers; a node id can't stand for two different vectors, so hash and node go together
-    unique = stored(ok.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("entry", F.xxhash64("v")), "vectors")
+def _found(unique: DataFrame, n: int, floats: bool, threshold: float, target: float) -> DataFrame:
+    """(node, links, other) of n vectors (entry, copies, v) of one length, as _searched gives them: a stored table."""
+    spark = unique.sparkSession
     chosen = unique.select("entry", "v").orderBy("entry").limit(SAMPLE).toArrow().column("v").combine_chunks()
-    n = unique.count()
     index, share = build(_vectors(chosen), n, threshold, target)
     d1_home = _placed(index)
     placed = stored(unique.select("entry", "copies", "v").mapInArrow(d1_home, "entry long, copies long, home int, visits array<int>, v array<double>"), "placed")
@@ -224,10 +214,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     queries = placed.withColumn("region", F.explode("visits")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("region") + 1) - 1)))
     queries = queries.withColumn("cut", part("q", F.lit(cuts))).withColumn("query", F.lit(1))
     key = ((F.col("region").cast("long") * (1 << 26) + F.col("block")) * (1 << 12) + F.col("cut")).alias("key")
-    columns = [key, "region", "query", F.col("entry").alias("node"), "copies", F.col("v").cast("array<float>" if _floats(rows, vector_col) else "array<double>").alias("v")]
+    columns = [key, "region", "query", F.col("entry").alias("node"), "copies", F.col("v").cast("array<float>" if floats else "array<double>").alias("v")]
     meeting = members.select(*columns).union(queries.select(*columns)).repartition("key").sortWithinPartitions("key", "query")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
-    found = stored(meeting.mapInArrow(_searched(index, threshold), "node long, links long, other long"), "found")
+    return stored(meeting.mapInArrow(_searched(index, threshold), "node long, links long, other long"), "found")
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """(id, n_links, component_id, kept) of each row."""
+    spark = rows.sparkSession
+    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    sane = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    ok = all_rows.filter(F.col("id").isNotNull()).filter(F.coalesce(sane, F.lit(False)))
+    none = all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    # a copy is told by its numbers; a node id can't stand for two different vectors, so hash and node go together
+    unique = stored(ok.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("entry", F.xxhash64("v")), "vectors")
+    counts = {r["d"]: r["count"] for r in unique.groupBy(F.size("v").alias("d")).count().collect()}  # one row a length
+    if not counts:
+        return none
+    found = spark.createDataFrame([], "node long, links long, other long")
+    for d, n in sorted(counts.items()):
+        if n > 1:  # one vector has copies alone
+            found = found.union(_found(unique.filter(F.size("v") == d), n, _floats(rows, vector_col), threshold, target))
     links = found.filter("links is not null").groupBy(F.col("node").alias("entry")).agg(F.sum("links").alias("links"))
     names = unique.select("entry", "node")
     edges = found.filter("other is not null").select("node", "other").join(names.select(F.col("entry").alias("node"), F.col("node").alias("a")), "node")
@@ -238,7 +246,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     per_row = per_row.join(heads, F.col("id") == F.col("node"), "left")
     linked = per_row.select(F.col("id").alias(id_col), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     linked = linked.withColumn("kept", F.col(id_col) == F.col("component_id"))
-    usable = F.col("id").isNotNull() & F.coalesce(sane & (F.size("v") == most["d"]), F.lit(False))
+    usable = F.col("id").isNotNull() & F.coalesce(sane, F.lit(False))
     rest = all_rows.filter(~usable)
     return linked.union(rest.select(F.col("id").alias(id_col), F.lit(0).cast("long"), F.col("id"), F.col("id").isNotNull()))
 
