@@ -258,7 +258,7 @@ def index_summary(spark, d):
 @query("bm25_over_chunks")
 def bm25_over_chunks(spark, d):
     c = chunking.chunk_documents(titled(spark, d))
-    rows = c.select((F.col("doc_id") * 100_000 + F.col("order")).alias("chunk_sk"), "title", F.col("section_heading").alias("heading"), "text")
+    rows = c.select(F.struct("doc_id", "order").alias("chunk_sk"), "title", F.col("section_heading").alias("heading"), "text")
     return search.search(search.build_index(rows), asked(spark, d))
 
 
