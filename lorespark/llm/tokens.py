@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import bounded_batches, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
-#: Strings that a worker's cache holds in each of its two generations.
-CACHED = 400_000
+#: Strings that a worker's cache holds in each of its two generations, and the characters of the longest that it keeps:
+#: together they bound its memory, whatever the texts.
+CACHED, KEPT = 400_000, 64
 #: Public pre-tokenization pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,13 +75,16 @@ def merge(model, pre_token: str) -> list:
 
 
 class Cache(dict):
-    """A dictionary that forgets: what was not used since the last time it filled goes first."""
+    """A dictionary that forgets: what was not used since the last time it filled goes first. Strings of more than KEPT
+    characters are made anew each time."""
 
     def __init__(self, make, size: int = CACHED):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > KEPT:
+            return self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

@@ -2,15 +2,15 @@
 
 File format, little-endian: the magic LSWM0001, a 32-bit header length, a JSON header (n tokens, bits, documents,
 zeros per plane, and offset and length of every section), then sections, each its own zstd frame: document starts
-(uint64, one more than documents), and for each bit-plane, highest bit first, its packed bits and a rank directory
-(uint32: ones before each block of 512 bits). Planes are read only when asked for, so one token, a count or an
+(uint64, one more than documents), for each bit-plane, highest bit first, its packed bits and a rank directory
+(uint32: ones before each block of 512 bits), and the documents' ids as JSON. Planes are read only when asked for, so one token, a count or an
 occurrence costs its path through the planes, not the shard.
 
 access(i), rank(token, i), select(token, k), count(token) and occurrences(token) work on the planes; decode()
 inverts the whole matrix plane by plane.
 
 Documents are range-sorted by id, or by a column the caller names, and each task cuts its range into shards of about SHARD tokens (a document stays
-in one shard). A shard's name is the hash of what it holds, so a task that runs again writes the same files.
+in one shard). A shard is named by its range and its place in it, so a task that runs again writes the same files.
 
 Cases: a null or empty text holds the end id alone. Rows with the same id are separate documents, ordered by text.
 A null id comes first. An empty table writes no shard and gives an empty result. Other columns are not read."""
@@ -19,38 +19,47 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from lorespark.llm.common import bounded_batches, in_order, new_path, stored, table
-from lorespark.llm.tokens import Cache, merge, tokenizer
+from lorespark.llm.tokens import CACHED, Cache, merge, tokenizer
 
 #: Public pre-tokenization pattern of the vocabulary with word ends (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 VOCABULARY, END, SHARD, MAGIC, BLOCK = "word_bpe_49k.json", 1, 1 << 20, b"LSWM0001", 512
 
 
-def build(ids: np.ndarray, starts: np.ndarray) -> bytes:
-    """The file of one shard. ids: its tokens (uint32); starts: where each document begins, and len(ids)."""
+def build(ids: np.ndarray, starts: np.ndarray, names: list | None = None) -> bytes:
+    """The file of one shard. ids: its tokens (uint32); starts: where each document begins, and len(ids); names: the
+    documents' ids."""
     n, bits = len(ids), max(1, int(ids.max(initial=1)).bit_length())
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    then = np.empty_like(now)
     sections, zeros = [starts.astype("<u8").tobytes()], []
     for level in range(bits - 1, -1, -1):
-        one = (now >> level & 1).astype(bool)
+        one = (now & now.dtype.type(1 << level)) != 0
         packed = np.packbits(one, bitorder="little")
         packed = np.pad(packed, (0, -len(packed) % (BLOCK // 8)))
         per = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         sections += [packed.tobytes(), np.r_[np.uint32(0), np.cumsum(per, dtype=np.uint32)].astype("<u4").tobytes()]
-        below = now[~one]
-        zeros.append(len(below))
-        now = np.concatenate([below, now[one]])
+        zeros.append(n - int(np.count_nonzero(one)))
+        np.compress(~one, now, out=then[: zeros[-1]])
+        np.compress(one, now, out=then[zeros[-1] :])
+        now, then = then, now
+    sections.append(json.dumps(names or []).encode())
     pack = zstandard.ZstdCompressor(level=1)
     frames = [pack.compress(s) for s in sections]
     at = np.cumsum([0, *map(len, frames)]).tolist()
@@ -78,6 +87,11 @@ class Shard:
     def starts(self) -> np.ndarray:
         return np.frombuffer(self.section(0), dtype="<u8")
 
+    @property
+    def ids(self) -> list:
+        """The documents' ids."""
+        return json.loads(self.section(1 + 2 * self.bits))
+
     def bit(self, level: int, i: int) -> int:
         return self.section(1 + 2 * level)[i >> 3] >> (i & 7) & 1
 
@@ -136,133 +150,151 @@ class Shard:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(np.frombuffer(self.section(1 + 2 * level), dtype=np.uint8), count=self.n, bitorder="little").view(bool)
             here = np.empty(self.n, dtype=kind)
-            here[~one] = below[: self.zeros[level]]
-            here[one] = below[self.zeros[level] :] | kind(1 << self.bits - 1 - level)
+            here[np.flatnonzero(~one)] = below[: self.zeros[level]]
+            here[np.flatnonzero(one)] = below[self.zeros[level] :] | kind(1 << self.bits - 1 - level)
             below = here
         return below.astype(np.uint32)
 
 
 @lru_cache(maxsize=2)
 def encoder(name: str):
-    """A function from a text to its ids as bytes (uint32, little-endian). The vocabulary drops white space and
-    no pre-token crosses it, so each stretch between white space is encoded alone: cut into pre-tokens, and each
-    of these merged. Bounded caches keep both. Texts with special strings or characters above U+024F, whose classes
-    may differ between Unicode versions, are the library's as they are."""
+    """A function from a text column to the ids of all its texts, one after another, and the number of each. The
+    vocabulary drops white space and no pre-token crosses it, so each stretch between white space is encoded alone:
+    cut into pre-tokens, and each of these merged. A bounded cache keeps the ids of both. Texts with special strings
+    or characters above U+024F, whose classes may differ between Unicode versions, are the library's as they are."""
     import regex
 
     t = tokenizer(name)
     model, find, plain = t.model, regex.compile(PATTERN).findall, regex.compile("[\x00-ɏ]*").fullmatch
     special = [s.content for s in t.get_added_tokens_decoder().values()]
-    encode = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    library = lambda s: array("I", t.encode(s, add_special_tokens=False).ids).tobytes()
     #: Characters that Python takes for white space and the vocabulary's pattern doesn't.
     odd = [chr(c) for c in range(0x1C, 0x20)]
-    words = Cache(lambda w: np.array([x.id for x in merge(model, w)], dtype="<u4").tobytes())
 
     def stretch(s: str) -> bytes:
         if s.isalpha():
-            return words[s]
+            return array("I", [x.id for x in (model.tokenize(s) if s.isascii() else merge(model, s))]).tobytes()
         if s[:-1].isalpha() and s[-1] in ".,;:!?":
-            return words[s[:-1]] + words[s[-1]]
-        return b"".join(map(words.__getitem__, find(s)))
+            return cache[s[:-1]] + points[s[-1]]
+        found = find(s)
+        if found == [s]:
+            return array("I", [x.id for x in merge(model, s)]).tobytes()
+        return b"".join(map(cache.__getitem__, found))
 
-    cache = Cache(stretch)
+    cache = Cache(stretch, 2 * CACHED)
+    points = {c: array("I", [x.id for x in merge(model, c)]).tobytes() for c in ".,;:!?"}
 
     def of_text(text: str) -> bytes:
         if not (text.isascii() or plain(text)) or any(c in text for c in odd) or any(x in text for x in special):
-            return encode(text)
+            return library(text)
         return b"".join(map(cache.__getitem__, text.lower().split()))
 
-    return of_text
+    def of_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [of_text(x) if x else b"" for x in column.to_pylist()]
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+
+    return of_texts
 
 
 def _open(uri: str):
+    """The file system of a folder and the path in it. Names that only Hadoop knows are told as Arrow knows them."""
     from pyarrow import fs
 
-    if ":" not in uri:
-        uri = "file://" + uri
-    return fs.FileSystem.from_uri(uri)
+    kind, colon, rest = uri.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri("file://" + uri)
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(kind, kind) + ":" + rest)
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", order: str | None = None) -> DataFrame:
-    """Write docs in ascending id order, or in that of the string column `order`, as shard files under path; returns
-    the manifest, a stored table (place in `order`, first id and text hash, position in its task, file, tokens)."""
+    """Write docs in ascending id order, or in that of the column `order`, as shard files under path; returns the
+    manifest, a stored table with a row a file: the range (part) it comes from, its place in it (seq), file and
+    tokens. Ranges ascend, so (part, seq) is the order of the files."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(vocabulary), struct.pack("<I", end)
-        held: list[bytes] = []
-        ids, size, first, seq = [], 0, None, 0
-
-        def flush() -> pa.RecordBatch:
-            starts = np.cumsum([0, *(len(h) // 4 for h in held)])
-            data = build(np.frombuffer(b"".join(held), dtype="<u4"), starts)
-            name = f"{zlib.crc32(repr(ids + [first[2]] * bool(order)).encode()):08x}{zlib.crc32(data):08x}-{first[1] & 0xFFFFFFFFFFFFFFFF:016x}-{seq}.lswm"
+        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        names: list = []
+        seq = 0
+
+        def flush(tokens: np.ndarray, lengths: np.ndarray, ids: list) -> pa.RecordBatch:
+            data = build(tokens, np.r_[0, np.cumsum(lengths)], ids)
+            name = f"{part:08d}-{seq:06d}.lswm"
             store, at = _open(path)
             store.create_dir(at, recursive=True)
-            import uuid
-
             temp = f"{at}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temp, compression=None) as f:
                 f.write(data)
-            store.move(temp, f"{at}/{name}")
-            columns = [pa.array([first[0]], type=id_type), pa.array([first[1]]), pa.array([seq], type=pa.int64()), pa.array([name]), pa.array([int(starts[-1])], type=pa.int64()), pa.array([list(ids)], type=pa.list_(id_type)), pa.array([first[2]])]
-            return pa.RecordBatch.from_arrays(columns, names=["first_id", "first_hash", "seq", "file", "tokens", "ids", "place"])
+            store.move(temp, f"{at}/{name}")  # onto the same file, if a lost task wrote it before
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([name]), pa.array([len(tokens)])], names=["part", "seq", "file", "tokens"])
 
-        id_type = None
         for b in batches:
-            id_type = b.column(0).type
-            for i, t, h, *o in zip(*b.columns):
-                raw = (encode(t.as_py()) if t.as_py() else b"") + tail
-                first = first or (i.as_py(), h.as_py(), o[0].as_py() if o else "")
-                held.append(raw)
-                ids.append(i.as_py())
-                size += len(raw) // 4
-                if size >= shard:
-                    yield flush()
-                    held, ids, size, first, seq = [], [], 0, None, seq + 1
-        if held:
-            yield flush()
-
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), *([F.col(order).alias("o")] if order else []))
-    by = [F.asc("o")] if order else [F.asc_nulls_first("i"), F.asc("h")]
+            tokens, lengths = encode(b.column(1))
+            held.append(np.insert(tokens, np.cumsum(lengths), end))
+            sizes.append(lengths + 1)
+            names += b.column(0).to_pylist()
+            tokens, lengths = np.concatenate(held), np.concatenate(sizes)
+            upto = np.cumsum(lengths)
+            first = done = 0
+            while len(upto) and upto[-1] - done >= shard:
+                last = int(np.searchsorted(upto, done + shard)) + 1
+                yield flush(tokens[done : upto[last - 1]], lengths[first:last], names[first:last])
+                first, done, seq = last, int(upto[last - 1]), seq + 1
+            held, sizes, names = [tokens[done:]], [lengths[first:]], names[first:]
+        if names:
+            yield flush(held[0], sizes[0], names)
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *([F.col(order).alias("o")] if order else [F.xxhash64(text_col).alias("o")]))
+    by = [F.asc("o")] if order else [F.asc_nulls_first("i"), F.asc("o")]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    return stored(ordered.mapInArrow(run, f"first_id {kind}, first_hash long, seq long, file string, tokens long, ids array<{kind}>, place string"), "manifest")
+    return stored(ordered.mapInArrow(run, "part long, seq long, file string, tokens long"), "manifest")
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with the number of tokens before each file (base): sums of ranges first, then within a range, so
+    one task sees a row a range only."""
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("all"))
+    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")
+    return manifest.withColumn("inside", inside).join(before, "part").select("part", "seq", "file", "tokens", (F.col("before") + F.col("inside")).alias("base"))
 
 
-def read_shards(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each document, from the files of a manifest. The manifest has one row
-    for SHARD tokens, so the running sum over it is a small job of one task."""
-    kind = manifest.schema["first_id"].dataType.simpleString()
-    order = Window.orderBy("place", F.asc_nulls_first("first_id"), "first_hash", "seq")
-    based = manifest.select("place", "first_id", "first_hash", "seq", "file", "tokens").withColumn("base", F.sum("tokens").over(order) - F.col("tokens"))
+def read_shards(manifest: DataFrame, path: str, kind: str = "bigint", id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of each document, read from the files of a manifest. kind: the type of ids."""
     # a task for a few shards each, however small the manifest is
-    jobs = manifest.select("file", "ids").join(based.select("file", "base"), "file").repartition(manifest.count() // 4 + 1, "file")
+    jobs = placed(manifest).select("file", "base", "tokens").repartition(manifest.count() // 4 + 1, "file")
+    id_type = to_arrow_type(_parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _open(path)
         for b in batches:
-            for file, ids, base in zip(b.column(0), b.column(1), b.column(2)):
-                with store.open_input_stream(f"{at}/{file.as_py()}", compression=None) as f:
+            for file, base, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                with store.open_input_stream(f"{at}/{file}", compression=None) as f:
                     s = Shard(f.read())
+                if s.n != tokens:
+                    raise ValueError(f"{file} holds {s.n} tokens, the manifest says {tokens}")
                 starts, flat = s.starts.astype(np.int64), s.decode().astype("<u4")
                 crc = [zlib.crc32(flat[a:z]) for a, z in zip(starts[:-1], starts[1:])]
-                columns = [ids.values, pa.array(starts[:-1] + base.as_py()), pa.array(np.diff(starts)), pa.array(crc, type=pa.int64())]
+                columns = [pa.array(s.ids, type=id_type), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, type=pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     return jobs.mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write docs to shards in the shared folder and read every document back from them."""
+def token_output(docs: DataFrame, vocabulary: str = VOCABULARY, order: str | None = None) -> DataFrame:
+    """Write docs to shards in the shared folder, by id or by the column `order`, and read every document back."""
     path = new_path(docs.sparkSession, "shards")
-    return read_shards(write_shards(docs, path, vocabulary), path)
+    manifest = write_shards(docs, path, vocabulary, order=order)
+    out = read_shards(manifest, path, docs.schema["doc_id"].dataType.simpleString())
+    out._lorespark_shards = (manifest, path)
+    return out
 
 
-def training_shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
-    """Write docs to shards in the order they come in; returns what read_shards takes: the manifest and the folder."""
-    path = new_path(docs.sparkSession, "training")
-    return write_shards(in_order(docs, "__order"), path, vocabulary, order="__order"), path
+def training_output(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """token_output of docs in the order they come in, which is the curriculum's."""
+    return token_output(in_order(docs, "__order"), vocabulary, order="__order")
 
 
 def op5_wavelet_tokens(spark, sf_dir: str) -> DataFrame:

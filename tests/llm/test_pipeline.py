@@ -4,6 +4,7 @@ import corpus_pipeline as C
 from oracle import sql_rows
 from test_simhash import brute, plain
 from test_tokens import expected
+from test_training_order import by_position
 
 from lorespark.llm import decontaminate as D
 from lorespark.llm import mixing as M
@@ -40,8 +41,10 @@ def test_stages_against_brute_force(spark):
                 times = (2 * t1 >= r["size"] > 0) + (2 * (r["taken"] - t1) >= r["size"] > 0)
                 want += Counter({r["doc_id"]: times})
             assert Counter(r[0] for r in after) == want
+            in_training_order = by_position(docs)
+            assert Counter(i for i, _ in in_training_order) == want
         if name == "token_output":
-            assert after == expected(sorted((r[:2] for r in before), key=lambda r: r[0]))
+            assert after == expected(in_training_order)  # the shards follow the curriculum
         else:
             assert out.columns == columns
         docs, before = out, after

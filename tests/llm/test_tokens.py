@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -32,8 +33,22 @@ def test_whole_tokens_are_proven():
 
 def test_ids_are_the_librarys(spark):
     t, encode = Tokenizer.from_file(P.path("word_bpe_49k.json")), W.encoder(W.VOCABULARY)
-    for x in texts(spark) + [f"A{chr(c)}b {chr(c)} {chr(c)}'s" for c in range(1, 0x3100)]:
-        assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x[:80])
+    rows = texts(spark) + [None] + [f"A{chr(c)}b {chr(c)} {chr(c)}'s" for c in range(1, 0x3100)]
+    for part in (rows, rows[3:9], rows[:0]):  # a batch's texts share their stretches
+        ids, sizes = encode(pa.array(part, type=pa.string()).slice(1))
+        ends = np.cumsum(sizes)
+        assert len(sizes) == max(0, len(part) - 1) and len(ids) == sum(sizes)
+        for x, a, z in zip(part[1:], ends - sizes, ends):
+            assert ids[a:z].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x[:80])
+
+
+def test_caches_keep_no_long_strings():
+    made = []
+    c = T.Cache(lambda s: made.append(s) or len(s), size=10)
+    assert [c["a" * 65], c["a" * 65], c["b"], c["b"]] == [65, 65, 1, 1] and len(made) == 3 and list(c) == ["b"]
+    for i in range(100):
+        c[str(i)]
+    assert len(c) <= 10 and len(c.old) <= 10
 
 
 @pytest.mark.parametrize("n,top", [(0, 5), (1, 0), (7, 1), (3000, 49407), (1025, 70000), (512, 3)])
@@ -80,3 +95,28 @@ def test_nulls_repeats_small_shards(spark, tmp_path):
     assert got == expected([(None, "z"), (1, None), (2, "b c"), (2, "b c"), (3, "")])
     assert W.token_output(df.limit(0)).count() == 0 and T.token_counts(df.limit(0)).count() == 0
     assert sorted(map(tuple, T.token_counts(df).collect()), key=str) == sorted([(2, 3, 2, False), (2, 3, 2, False), (1, 0, 0, False), (None, 1, 1, False), (3, 0, 0, False)], key=str)
+
+
+def test_files_alone_tell_ids_and_counts(spark, tmp_path):
+    rows = [(i * 37 % 101, f"text {i} " * (i % 9)) for i in range(101)]
+    at = tmp_path / "s"
+    m = W.write_shards(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), str(at), shard=50)
+    got, before = [], 0
+    for f in sorted(at.glob("*.lswm")):  # names ascend as documents do
+        s = W.Shard(f.read_bytes())
+        got += [(i, before + int(a), int(z - a)) for i, a, z in zip(s.ids, s.starts[:-1], s.starts[1:])]
+        before += s.n
+    want = [x[:3] for x in expected(sorted((str(i), t) for i, t in rows))]
+    assert got == want and len(list(at.glob("*.lswm"))) > 5
+    read = W.read_shards(m, str(at), "string")
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in read.collect()) == [(b, a, c) for a, b, c in want]
+
+
+def test_a_task_that_runs_again_writes_the_same_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    at = tmp_path / "s"
+    m = W.write_shards(df, str(at), shard=20)
+    was = {f.name: f.read_bytes() for f in at.iterdir()}
+    W.write_shards(df, str(at), shard=20)  # onto what is there
+    assert {f.name: f.read_bytes() for f in at.iterdir()} == was
+    assert sorted(map(tuple, W.read_shards(m, str(at)).collect()), key=lambda r: r[1]) == expected([(i, f"text {i}") for i in range(40)])

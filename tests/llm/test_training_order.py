@@ -27,15 +27,17 @@ def test_shards_follow_the_curriculum(spark):
     want = by_position(docs)
     assert [i for i, _ in want] != sorted(i for i, _ in want) and len({i for i, _ in want}) < len(want)
     mixed = C.stored(C.mix_sources(spark, docs, DIR), "mixed")
-    assert in_shards(C.token_output(spark, mixed, DIR)._lorespark_training) == expected(want)
-    assert in_shards(W.training_shards(M.curriculum(docs))) == expected(want)
+    out = C.token_output(spark, mixed, DIR)
+    assert in_shards(out._lorespark_shards) == expected(want)
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == expected(want)
+    assert in_shards(W.training_output(M.curriculum(docs))._lorespark_shards) == expected(want)
 
 
 def test_run_keeps_the_training_shards(spark):
     out = C.run(spark, DIR)
-    got = in_shards(out._lorespark_training)
+    got = in_shards(out._lorespark_shards)
     ids = [r[0] for r in got]
-    assert sorted(ids) == sorted(r.doc_id for r in out.collect()) and ids != sorted(ids)
+    assert got == sorted(map(tuple, out.collect()), key=lambda r: r[1]) and ids != sorted(ids)
 
 
 def test_order_of_files_and_equal_shards(spark, tmp_path):
@@ -45,4 +47,4 @@ def test_order_of_files_and_equal_shards(spark, tmp_path):
     docs = in_order(spark.read.parquet(str(tmp_path / "d")), "o")
     m = W.write_shards(docs, str(tmp_path / "s"), shard=2, order="o")
     assert in_shards((m, str(tmp_path / "s"))) == expected(rows)
-    assert W.training_shards(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+    assert W.training_output(spark.createDataFrame([], "doc_id long, text string")).count() == 0
