@@ -32,12 +32,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shards to train from follow the order of docs, the curriculum; the rows returned are those of op5, read
-    back from shards in the order of ids. `_lorespark_training` is the manifest and folder of the former."""
-    training = wavelet.training_shards(docs)
-    out = wavelet.token_output(docs)
-    out._lorespark_training = training
-    return out
+    """Shards in the order of docs, the curriculum, and a row for each document read back from them; `start` is its
+    place in training. `_lorespark_shards` of the result is the shards' manifest and folder."""
+    return wavelet.training_output(docs)
 
 
 STAGES = [
@@ -54,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         docs = stored(out, name)
-    docs._lorespark_training = out._lorespark_training
+    docs._lorespark_shards = out._lorespark_shards
     return docs
