@@ -23,6 +23,26 @@ def test_against_sql(spark):
     assert D.line_dedup(df.limit(0)).count() == 0
 
 
+def test_no_fingerprint_is_missed_between_other_lines(spark):
+    # common lines in changing contexts: the first position of a line tells nothing of most of its windows
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice(["hub", "a", "b", "c", f"u{rng.randrange(6)}", " ".join(f"w{rng.randrange(2)}" for _ in range(26))]) for _ in range(rng.randrange(2, 14)))) for i in range(400)]
+    names, want = sql_rows(D.SQL, documents=("doc_id bigint, text varchar", rows))
+    same(D.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")), names, want)
+
+
+def test_marks_are_fewer_than_windows(spark):
+    rows = D.stored(spark.createDataFrame([(i, i, "\n".join(f"line {i} {j}" for j in range(100))) for i in range(50)], "id long, th long, t string"), "rows")
+    n = D.fingerprints(rows).count()
+    assert 2000 < n < 2900 and D.fingerprints(rows).select("id", "p").distinct().count() == n  # 4,900 windows of three lines
+
+
+def test_one_text_of_many_lines(spark):
+    text = "\n".join(f"l{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, "z\n" + text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, len(r.text)) for r in D.line_dedup(df).collect()) == [(1, 200_000, 0, len(text)), (2, 200_001, 200_000, 1)]
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "one\ntwo\nthree\nfour"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "zero\n" + text)], "doc_id long, text string")
@@ -59,5 +79,6 @@ def test_two_lines_that_are_long_together(spark):
     rng = random.Random(6)
     rows += [(i, "\n".join(rng.choice([a, b, "q", "r s", ""]) for _ in range(rng.randrange(1, 9)))) for i in range(10, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in D.line_dedup(df, pair=50).collect()}
+    got = {r.doc_id: r.text for r in D.line_dedup(df).collect()}
     assert got[2] == "" and got[3] == "x\n\ny" and got[4] == a and got == with_pairs(rows, 50)
+    assert {r.doc_id: r.text for r in D.line_dedup(df, pair=None).collect()} == with_pairs(rows, 1 << 30)
