@@ -49,13 +49,19 @@ def chunks(x: str, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chun
 
 
 def chunk_documents(docs: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
-    """docs (doc_id, title, source_path, text): one row a chunk, with chunk_id, order from 1 and section_heading. A
-    text without chunks is one chunk if it is a brief but meaningful one, and else none."""
+    """docs (doc_id, title, source_path, text): one row a chunk, with chunk_id, order from 1 and section_heading; other
+    columns of docs go with every chunk. A text without chunks is one chunk if it is a brief but meaningful one, and
+    else none. Chunks of a PDF page (doc_type .pdf) have its page_heading as section heading; others find theirs
+    in the chunk, and fall back on page_heading where there is one."""
     alone = T.let("wt", T.normalized("text"), f"IF({T.brief('wt')}, array(wt), {NONE})")
     parts = T.let("ps", chunks("text", size, overlap), f"IF(size(ps) > 0, ps, {alone})")
+    more = [c for c in docs.columns if c not in ("doc_id", "title", "source_path", "text")]
     # the outer form, as for the other one the optimizer adds a filter that works the chunks out again
-    rows = docs.select("doc_id", "title", "source_path", F.posexplode_outer(F.expr(parts)).alias("pos", "text")).filter("pos IS NOT NULL")
+    rows = docs.select("doc_id", "title", "source_path", *more, F.posexplode_outer(F.expr(parts)).alias("pos", "text")).filter("pos IS NOT NULL")
+    page = "coalesce(page_heading, '')" if "page_heading" in more else "''"
+    heading = T.section_heading("text", page)
+    heading = f"IF(doc_type = '.pdf', {page}, {heading})" if "doc_type" in more else heading
     return rows.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-"), (F.col("pos") + 1).cast("string")).alias("chunk_id"), "doc_id", "title", "source_path",
-        (F.col("pos") + 1).alias("order"), "text", F.expr(T.section_heading("text")).alias("section_heading"),
+        (F.col("pos") + 1).alias("order"), "text", F.expr(heading).alias("section_heading"), *more,
     )

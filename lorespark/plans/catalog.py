@@ -153,7 +153,7 @@ def source_projection(spark, d):
     return hits_of(spark, d).select("query_id", "rank", "title", "source_path", F.round("score", 3).alias("score"), F.expr(T.strip("substring(text, 1, 320)")).alias("snippet"))
 
 
-@query("context_packing", HITS_SQL + """, b AS (SELECT query_id, rank, '[来源] ' || title || chr(10) || '[路径] ' || source_path || chr(10) || '[内容] ' || text || chr(10) AS block FROM hits),
+@query("context_packing", HITS_SQL + f""", b AS (SELECT query_id, rank, '[来源] ' || coalesce(title, '') || chr(10) || '[路径] ' || coalesce(source_path, '') || chr(10) || '[内容] ' || {strip('text')} || chr(10) AS block FROM hits),
 c AS (SELECT *, sum(len(block)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM b)
 SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS context FROM c WHERE total <= 2200 GROUP BY query_id""")
 def context_packing(spark, d):
@@ -168,10 +168,10 @@ def sentence_ranking(spark, d):
 @query("answer_text", SENT_SQL + rf""",
 u AS (SELECT query_id, sentence, min(place) AS place FROM best GROUP BY ALL),
 v AS (SELECT query_id, list(sentence ORDER BY place) AS ss FROM u GROUP BY query_id)
-SELECT b.item_id AS query_id, CASE WHEN {strip('b.text')} = '' THEN 'validation' WHEN h.text IS NULL THEN 'no_context' ELSE 'local_summary' END AS mode,
-  CASE WHEN ss IS NOT NULL THEN '{answer.HEADER.strip()}' || chr(10) || array_to_string(list_slice(ss, 1, 2), chr(10))
+SELECT b.item_id AS query_id, nullif(coalesce({strip('b.text')}, ''), '') AS question, CASE WHEN coalesce({strip('b.text')}, '') = '' THEN 'validation' WHEN h.text IS NULL THEN 'no_context' ELSE 'local_summary' END AS mode,
+  CASE WHEN coalesce({strip('b.text')}, '') = '' THEN '请输入一个具体问题，例如“为什么文本数据通常使用余弦相似度？”' WHEN h.text IS NULL THEN '知识库里暂时没有足够相关的课程资料。你可以换一种问法，或者补充 lecture、章节、公式名或方法名。' WHEN ss IS NOT NULL THEN '{answer.HEADER.strip()}' || chr(10) || array_to_string(list_slice(ss, 1, 2), chr(10))
     || CASE WHEN len(ss) > 2 THEN chr(10) || chr(10) || '{answer.MORE.strip()}' || chr(10) || array_to_string(list_transform(list_slice(ss, 3, 99), lambda x: '- ' || x), chr(10)) ELSE '' END || chr(10) || chr(10) || '{answer.CLOSING.strip()}'
-  WHEN h.text IS NOT NULL THEN '{answer.ONLY.strip()}' || chr(10) || {strip('substring(h.text, 1, 280)')} END AS answer
+  ELSE '{answer.ONLY.strip()}' || chr(10) || {strip('substring(h.text, 1, 280)')} END AS answer
 FROM benchmark AS b LEFT JOIN v ON v.query_id = b.item_id LEFT JOIN hits AS h ON h.query_id = b.item_id AND h.rank = 1""")
 def answer_text(spark, d):
     return answer.answers(asked(spark, d).withColumnRenamed("text", "question"), hits_of(spark, d))
@@ -241,25 +241,83 @@ def meaningful_lines(spark, d):
 
 
 def titled(spark, d):
-    return texts(spark, d).select("doc_id", F.substring_index("text", " ", 3).alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text", "source")
+    return texts(spark, d).select("doc_id", F.substring_index("text", " ", 3).alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"), "text")
 
 
-@query("chunk_documents")
+def meaningful_sql(x: str, least: int, alnum: int, part: int) -> str:
+    return rf"(len({strip(x)}) >= {least} AND len(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')) >= greatest({alnum}, len({strip(x)}) // {part}))"
+
+
+def clean_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({strip(x)}, '^#{{1,6}}[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*', ''), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '[ \t]{{2,}}', ' ', 'g'), '^[ \-–:：]+|[ \-–:：]+\z', '', 'g')"
+
+
+def windows_sql(x: str) -> str:
+    return f"list_filter(list_transform(range(0, len({x}), 340), lambda w: {strip(f'substring({x}, w + 1, 420)')}), lambda w: w <> '')"
+
+
+#: Rules of the chunker, one segment a step: the state of a document is what has been packed (segs, cur) and what the
+#: step gives out.
+CHUNK_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, i, {strip("string_split(" + strip(NORM) + ", chr(10))[i]")} AS line FROM documents, unnest(range(1, len(string_split({strip(NORM)}, chr(10))) + 1)) AS t(i)),
+k AS (SELECT *, regexp_matches(line, {BULLET}) OR line LIKE '#%' OR (len(line) <= 90 AND NOT regexp_matches(line, '[。？！.?!;；:]\z')) AS alone FROM l),
+g AS (SELECT *, sum(CASE WHEN alone OR line = '' THEN 1 ELSE 0 END) OVER w + coalesce(sum(CASE WHEN alone OR line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+sg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS pos, string_agg(line, ' ' ORDER BY i) AS sg FROM g WHERE line <> '' GROUP BY doc_id, grp),
+sn AS (SELECT doc_id, pos, sg, list_filter(list_transform(string_split(regexp_replace(sg, '([。！？.!?;；:])[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM sg WHERE len(sg) > 420),
+lp AS (SELECT doc_id, pos, ss, 0 AS i, '' AS cur, []::VARCHAR[] AS o FROM sn WHERE len(ss) > 1 UNION ALL
+  SELECT doc_id, pos, ss, i + 1, CASE WHEN len(cand) <= 420 THEN cand WHEN cur <> '' THEN s ELSE '' END,
+    CASE WHEN len(cand) <= 420 THEN o WHEN cur <> '' THEN list_append(o, cur) ELSE list_concat(o, {windows_sql('s')}) END
+  FROM (SELECT *, ss[i + 1] AS s, CASE WHEN cur = '' THEN ss[i + 1] ELSE {strip("(cur || ' ' || ss[i + 1])")} END AS cand FROM lp WHERE i < len(ss))),
+pieces AS (SELECT doc_id, pos, CASE WHEN cur <> '' THEN list_append(o, cur) ELSE o END AS ps FROM lp WHERE i = len(ss) UNION ALL SELECT doc_id, pos, {windows_sql('sg')} FROM sn WHERE len(ss) <= 1),
+sp AS (SELECT sg.doc_id, sg.pos, sg.sg, list_filter(ps, lambda x: {meaningful_sql('x', 40, 18, 3)}) AS ps FROM sg LEFT JOIN pieces USING (doc_id, pos)),
+pk AS (SELECT doc_id, 0::BIGINT AS pos, []::VARCHAR[] AS segs, '' AS cur, []::VARCHAR[] AS given FROM documents UNION ALL
+  SELECT doc_id, pos, CASE WHEN len(sg) > 420 THEN [] WHEN kept THEN list_append(segs, sg) ELSE list_append(seed, sg) END,
+    CASE WHEN len(sg) > 420 THEN '' WHEN len(segs) = 0 THEN sg WHEN kept THEN cur || chr(10) || chr(10) || sg ELSE array_to_string(list_append(seed, sg), chr(10) || chr(10)) END,
+    CASE WHEN kept THEN [] ELSE list_concat(CASE WHEN {meaningful_sql('cur', 40, 18, 3)} THEN [cur] ELSE []::VARCHAR[] END, CASE WHEN len(sg) > 420 THEN ps ELSE []::VARCHAR[] END) END
+  FROM (SELECT pk.doc_id, sp.pos, pk.segs, pk.cur, sp.sg, sp.ps, len(sp.sg) <= 420 AND (len(pk.segs) = 0 OR len(pk.cur) + 2 + len(sp.sg) <= 420) AS kept,
+    list_slice(pk.segs, len(pk.segs) + 1 - greatest(1, len(list_filter(range(1, len(pk.segs) + 1), lambda m: list_sum(list_transform(list_slice(pk.segs, len(pk.segs) + 1 - m, len(pk.segs)), lambda x: len(x) + 2)) <= 80))), len(pk.segs)) AS seed
+    FROM pk JOIN sp ON sp.doc_id = pk.doc_id AND sp.pos = pk.pos + 1)),
+final AS (SELECT doc_id, arg_max(cur, pos) AS cur, max(pos) + 1 AS pos FROM pk GROUP BY doc_id),
+given AS (SELECT doc_id, pos, given FROM pk UNION ALL SELECT doc_id, pos, [cur] FROM final WHERE {meaningful_sql('cur', 40, 18, 3)}),
+got_ AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS "order" FROM (SELECT doc_id, pos, i, given[i] AS text FROM given, unnest(range(1, len(given) + 1)) AS t(i))),
+parts AS (SELECT * FROM got_ UNION ALL SELECT doc_id, whole, 1 FROM (SELECT doc_id, {strip(NORM)} AS whole FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM got_)) WHERE {meaningful_sql('whole', 8, 6, 2)}),
+hl AS (SELECT doc_id, "order", text, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), lambda x: {{'s': x, 'c': {clean_sql('x')}}}), lambda x: x.c <> '' AND NOT regexp_matches(x.c, {BULLET})) AS h FROM parts),
+chunks AS (SELECT p.doc_id || '-chunk-' || p."order" AS chunk_id, p.doc_id, {TITLE.replace('text', 'd.text')} AS title, source || '/' || p.doc_id AS source_path, p."order"::INT AS "order", p.text,
+  coalesce(list_filter(h, lambda x: x.s LIKE '#%')[-1].c, list_filter(h, lambda x: x.s NOT LIKE '#%' AND len(x.c) <= 90 AND NOT regexp_matches(x.c, '[。？！.?!;；:]\z'))[-1].c, '') AS section_heading
+  FROM hl AS p JOIN documents AS d USING (doc_id))"""
+
+
+@query("chunk_documents", CHUNK_SQL + " SELECT * FROM chunks")
 def chunk_documents(spark, d):
     return chunking.chunk_documents(titled(spark, d))
 
 
-@query("index_summary")
+@query("index_summary", CHUNK_SQL + " SELECT count(DISTINCT source_path) AS documents, count(*) AS chunks FROM chunks")
 def index_summary(spark, d):
     c = chunking.chunk_documents(titled(spark, d))
     return c.agg(F.countDistinct("source_path").alias("documents"), F.count("*").alias("chunks"))
 
 
-@query("bm25_over_chunks")
-def bm25_over_chunks(spark, d):
+def chunked(spark, d):
     c = chunking.chunk_documents(titled(spark, d))
-    rows = c.select(F.struct("doc_id", "order").alias("chunk_sk"), "title", F.col("section_heading").alias("heading"), "text")
-    return search.search(search.build_index(rows), asked(spark, d))
+    return c.withColumn("chunk_sk", F.struct("doc_id", "order")).withColumn("heading", F.col("section_heading"))
+
+
+CHUNK_BM25_SQL = bm25_sql().replace(f"docs AS (SELECT doc_id AS chunk_sk, {TITLE} AS title, text, source FROM documents)", "docs AS (SELECT {'doc_id': doc_id, 'order': \"order\"} AS chunk_sk, title, section_heading, text, source_path, concat_ws(' ', nullif(section_heading, ''), nullif(title, '')) AS heading FROM chunks)")
+CHUNK_BM25_SQL = CHUNK_SQL + "," + CHUNK_BM25_SQL.replace(f"list_distinct({TOK.format('title')}) AS ht", f"list_distinct({TOK.format('heading')}) AS ht").removeprefix("WITH")
+
+
+@query("bm25_over_chunks", CHUNK_BM25_SQL + ' SELECT query_id, chunk_sk.doc_id AS doc_id, chunk_sk."order" AS "order", score, heading_hits, rank FROM top')
+def bm25_over_chunks(spark, d):
+    found = search.search(search.build_index(chunked(spark, d).select("chunk_sk", "title", "heading", "text")), asked(spark, d))
+    return found.select("query_id", "chunk_sk.doc_id", "chunk_sk.order", "score", "heading_hits", "rank")
+
+
+@query("sources_over_chunks", CHUNK_BM25_SQL + f""" SELECT query_id, rank, title, source_path AS path, round(score, 3) AS score, {strip('substring(text, 1, 320)')} AS snippet, section_heading FROM top JOIN docs USING (chunk_sk)""")
+def sources_over_chunks(spark, d):
+    chunks = chunked(spark, d)
+    found = search.search(search.build_index(chunks.select("chunk_sk", "title", "heading", "text")), asked(spark, d))
+    one = answer.sources(found.join(chunks, "chunk_sk"))
+    return one.select("query_id", "rank", "source.title", "source.path", "source.score", "source.snippet", "source.section_heading")
 
 
 @query("heading_cleanup_pages", r"SELECT page_id, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(" + strip("html") + r", '^#{1,6}[\s\x0b\x1c-\x1f\x{85}\p{Z}]*', ''), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '[ \t]{2,}', ' ', 'g'), '^[ \-–:：]+|[ \-–:：]+\z', '', 'g') AS cleaned FROM pages")

@@ -7,5 +7,5 @@ def test_keys_of_long_documents_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(C, "titled", lambda spark, d: None)
     monkeypatch.setattr(C.chunking, "chunk_documents", lambda docs: chunks)
     monkeypatch.setattr(C, "asked", lambda spark, d: spark.createDataFrame([(7, "alpha gamma")], "query_id long, text string"))
-    got = [(tuple(r.chunk_sk), r["rank"]) for r in C.bm25_over_chunks(spark, "").collect()]
+    got = [((r.doc_id, r["order"]), r["rank"]) for r in C.bm25_over_chunks(spark, "").collect()]
     assert sorted(got, key=lambda r: r[1]) == [((1, 100_001), 1), ((2, 1), 2)]
