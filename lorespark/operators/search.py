@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.config import SETTINGS
@@ -26,6 +26,48 @@ class Index:
     stats: DataFrame  # chunk_sk, dl, heading_tokens, title_lc
     corpus: DataFrame  # n, avgdl
     chunks: DataFrame  # what they are made of
+    stored: DataFrame | None = None  # bucket, chunk_sk, dl, kind, token, tf of a saved index
+    titles: DataFrame | None = None  # chunk_sk, dl, title_lc of a saved index
+
+    def matches(self, tokens: DataFrame, longest: int) -> DataFrame:
+        """As matches() below; of a saved index only the buckets of the tokens are read, and titles."""
+        if self.stored is None:
+            return matches(self.chunks, tokens, longest)
+        buckets = [r[0] for r in tokens.select(bucket("token").alias("b")).distinct().collect()]  # BUCKETS at most
+        body = self.stored.filter(F.col("bucket").isin(buckets)).join(tokens, "token", "left_semi").select("chunk_sk", "dl", "kind", "token", "tf")
+        titles = self.titles.select("chunk_sk", "dl", F.lit("t").alias("kind"), F.explode(F.expr(title_parts("title_lc", longest))).alias("token"), F.lit(1).cast("long").alias("tf"))
+        return body.unionByName(titles.join(tokens, "token", "left_semi").select(*body.columns))
+
+
+#: Folders by token that a saved index has.
+BUCKETS = 512
+
+
+def bucket(token: str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def save_index(chunks: DataFrame, path: str) -> None:
+    """Write the index of chunks (chunk_sk, title, heading, text) to a folder, by buckets of tokens: counts of body and
+    heading tokens, a row for each chunk, and titles. A batch of questions then reads the buckets of its tokens, not the
+    texts. A new version goes to a new folder; who has the old one open keeps it."""
+    heading = "concat_ws(' ', nullif(heading, ''), nullif(title, ''))"
+    split = chunks.select("chunk_sk", F.expr(f"coalesce({T.tokens('text')}, CAST(array() AS array<string>))").alias("ts"), F.expr(f"array_distinct({T.tokens(heading)})").alias("hs"), F.lower(F.coalesce("title", F.lit(""))).alias("title_lc"))
+    split = split.withColumn("dl", F.size("ts").cast("long"))
+    every = "concat(transform(ts, x -> named_struct('kind', 'b', 'token', x)), transform(hs, x -> named_struct('kind', 'h', 'token', x)), array(named_struct('kind', 'n', 'token', '')))"
+    rows = split.select("chunk_sk", "dl", F.explode_outer(F.expr(every)).alias("m")).groupBy("chunk_sk", "dl", "m.kind", "m.token").agg(F.count("*").alias("tf"))
+    rows = rows.withColumn("bucket", bucket("token"))
+    # common tokens fill their bucket in many tasks, told apart by chunk
+    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_sk"), F.lit(16))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/tokens")
+    split.select("chunk_sk", "dl", "title_lc").write.parquet(f"{path}/titles")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    tokens, titles = spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/titles")
+    postings = tokens.filter("kind = 'b'").select("chunk_sk", "token", "tf")
+    heads = tokens.filter("kind = 'h'").groupBy("chunk_sk").agg(F.collect_set("token").alias("heading_tokens"))
+    stats = titles.join(heads, "chunk_sk", "left").select("chunk_sk", "dl", F.coalesce("heading_tokens", F.array().cast("array<string>")).alias("heading_tokens"), "title_lc")
+    return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats, titles.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), titles, tokens, titles)
 
 
 def build_index(chunks: DataFrame) -> Index:
@@ -64,17 +106,16 @@ def matches(chunks: DataFrame, tokens: DataFrame, longest: int) -> DataFrame:
 def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_score: float = SETTINGS.min_score, title_boost: float = SETTINGS.title_boost, adjust: bool = True) -> DataFrame:
     """questions (query_id, text): (query_id, chunk_sk, score, heading_hits, rank) of the best k chunks of each.
 
-    Only chunks that share a token with the question in text, heading or title can reach a score above zero, so
-    min_score has to be positive."""
-    if min_score <= 0:
-        raise ValueError("min_score has to be positive")
+    Only chunks that share a token with the question in text, heading or title can reach a score above zero. If
+    min_score is not positive, the others follow them with a score of zero, in order of chunk_sk. Questions without
+    tokens find nothing."""
     ascii = "RLIKE '^[a-z0-9_+\\\\-]{3,}$'"
     sets = questions.select("query_id", F.expr(f"array_distinct({T.tokens('text')})").alias("ts"))
     asked = sets.select("query_id", F.expr(f"size(filter(ts, t -> t {ascii}))").alias("n_ascii"), F.explode_outer("ts").alias("token")).filter("token IS NOT NULL")
     n, longest = asked.agg(F.count("*"), F.max(F.length("token"))).first()
     few = F.broadcast if n <= MOST_TOKENS else lambda df: df
     none = asked.sparkSession.range(1).select(F.lit("").alias("token"))
-    found = matches(index.chunks, few(asked.select("token").distinct().union(none)), longest or 0)
+    found = index.matches(few(asked.select("token").distinct().union(none)), longest or 0)
     # each use needs tf, so that all of them share the exchange of found
     body = (F.col("kind") == "b") & (F.col("tf") > 0)
     chunk = F.when(F.col("kind") == "n", F.col("tf"))
@@ -91,5 +132,9 @@ def search(index: Index, questions: DataFrame, k: int = SETTINGS.top_k, min_scor
     adjusted = F.when(F.col("n_ascii") == 0, F.col("base")).when(F.col("hits") == 0, F.col("base") * SETTINGS.ascii_penalty).otherwise(F.col("base") + SETTINGS.ascii_bonus * F.col("hits"))
     score = (adjusted if adjust else F.col("base")) + SETTINGS.heading_boost * F.col("heading_hits") + F.col("title")
     scored = pairs.select("query_id", "chunk_sk", F.round(score, 6).alias("score"), "heading_hits").filter(F.col("score") >= min_score)
+    if min_score <= 0:  # fewer than k chunks come before the first of these, so 2 k of them are enough
+        least = index.chunks.select("chunk_sk").orderBy("chunk_sk").limit(2 * k)
+        rest = asked.select("query_id").distinct().crossJoin(F.broadcast(least)).join(scored.select("query_id", "chunk_sk"), ["query_id", "chunk_sk"], "left_anti")
+        scored = scored.unionByName(rest.select("query_id", "chunk_sk", F.lit(0.0).alias("score"), F.lit(0).alias("heading_hits")))
     order = Window.partitionBy("query_id").orderBy(F.desc("heading_hits"), F.desc("score"), "chunk_sk")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions import present as P
 from lorespark.functions import text as T
 from lorespark.operators import answer, chunking, search, store
 
@@ -372,12 +373,9 @@ def cascade_delete(spark, d):
     return store.cascaded(read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'"), "o_custkey", "c_custkey")
 
 
-@query("materials_listing", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, lower(c_name), c_custkey)::INT AS place FROM customer QUALIFY place <= 100")
+@query("materials_listing", "SELECT c_custkey, c_name, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, lower(c_name), c_custkey)::INT AS place FROM customer")
 def materials_listing(spark, d):
-    top = read(spark, d, "customer").orderBy(F.desc("c_acctbal"), F.lower("c_name"), "c_custkey").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("c_custkey", "c_name", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), F.lower("c_name"), "c_custkey")).alias("place"))
+    return store.listed(read(spark, d, "customer"), "c_nationkey", "c_acctbal", "c_name", "c_custkey").select("c_custkey", "c_name", "c_nationkey", "place")
 
 
 @query("json_fields", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events")
@@ -390,20 +388,48 @@ def md5_hash(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"))
 
 
-@query("snippet_truncate", "SELECT doc_id, CASE WHEN len(text) > 88 THEN substring(text, 1, 87) || '…' ELSE text END AS snippet FROM documents")
+BLANK_SQL = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def trimmed_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^{BLANK_SQL}+|{BLANK_SQL}+\z', '', 'g')"
+
+
+@query("snippet_truncate", f"WITH n AS (SELECT doc_id, {trimmed_sql(f"regexp_replace(coalesce(text, ''), '{BLANK_SQL}+', ' ', 'g')")} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) <= 88 THEN t ELSE substring(t, 1, 87) || '…' END AS snippet FROM n")
 def snippet_truncate(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.expr("IF(length(text) > 88, concat(substring(text, 1, 87), '…'), text)").alias("snippet"))
+    return read(spark, d, "documents").select("doc_id", F.expr(P.truncated("text")).alias("snippet"))
+
+
+@query("source_snippet", rf"""WITH t AS (SELECT page_id, string_split(replace(regexp_replace(replace(html, '&nbsp;', ' '), '</?[A-Za-z][^>]*>', '', 'g'), chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM pages),
+f AS (SELECT page_id, ls, list_position(list_transform(ls, lambda x: {trimmed_sql('x')} NOT IN ('', ']', '\]')), true) AS k FROM t)
+SELECT page_id, CASE WHEN coalesce(k, 0) = 0 THEN '' ELSE {trimmed_sql("array_to_string(list_slice(ls, k, len(ls)), chr(10))")} END AS snippet FROM f""")
+def source_snippet(spark, d):
+    return read(spark, d, "pages").select("page_id", F.expr(P.source_snippet("html")).alias("snippet"))
+
 
+@query("source_link", """SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE '/api/source?path=' || replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') END AS link FROM pages""")
+def source_link(spark, d):
+    return read(spark, d, "pages").select("page_id", F.expr(P.source_link("url", "CAST(NULL AS int)")).alias("link"))
 
-def size_label(x: str) -> str:
-    """Bytes as B, KB, MB or GB: no decimals for bytes, one for the rest."""
-    return f"CASE WHEN {x} < 1024 THEN concat({x}, ' B') WHEN {x} < 1048576 THEN concat(CAST(CAST({x} / 1024.0 AS decimal(18, 1)) AS string), ' KB') WHEN {x} < 1073741824 THEN concat(CAST(CAST({x} / 1048576.0 AS decimal(18, 1)) AS string), ' MB') ELSE concat(CAST(CAST({x} / 1073741824.0 AS decimal(18, 1)) AS string), ' GB') END"
 
+def file_size_sql(n: str) -> str:
+    whole = lambda u: f"((2 * {n} + {u}) // {2 * u})::VARCHAR"
+    tenths = lambda u: f"((20 * {n} + {u}) // {2 * u} // 10) || '.' || ((20 * {n} + {u}) // {2 * u} % 10)"
+    unit = lambda u, name: f"CASE WHEN {n} >= {10 * u} THEN {whole(u)} ELSE {tenths(u)} END || ' {name}'"
+    return f"CASE WHEN {n} IS NULL OR {n} <= 0 THEN '0 B' WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < 1048576 THEN {unit(1 << 10, 'KB')} WHEN {n} < 1073741824 THEN {unit(1 << 20, 'MB')} ELSE {unit(1 << 30, 'GB')} END"
 
-@query("file_size_format", "SELECT doc_id, " + size_label("n").replace(" AS string", " AS VARCHAR").replace("/ 1024.0", "/ 1024").replace("/ 1048576.0", "/ 1048576").replace("/ 1073741824.0", "/ 1073741824") + " AS size FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents)")
+
+@query("file_size_format", f"WITH s AS (SELECT source, sum(strlen(text))::BIGINT AS total FROM documents GROUP BY source) SELECT doc_id, {file_size_sql('strlen(text)')} AS size, {file_size_sql('total')} AS source_size, {file_size_sql('(total * 4096)')} AS scaled FROM documents AS d LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source")
 def file_size_format(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.expr("n_chars * n_chars").alias("n"))
-    return rows.select("doc_id", F.expr(size_label("n").replace("/ 1024.0", "/ 1024D").replace("/ 1048576.0", "/ 1048576D").replace("/ 1073741824.0", "/ 1073741824D")).alias("size"))
+    rows = read(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
+    totals = rows.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("total"))
+    both = rows.join(totals, F.col("source").eqNullSafe(F.col("of")), "left")
+    return both.select("doc_id", F.expr(P.file_size("n")).alias("size"), F.expr(P.file_size("total")).alias("source_size"), F.expr(P.file_size("(total * 4096)")).alias("scaled"))
+
+
+@query("history_times", "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M') AS label FROM events")
+def history_times(spark, d):
+    return read(spark, d, "events").select("event_id", F.expr(P.time_label("ts")).alias("label"))
 
 
 LITERALS = ["K-Means++ 的初始化 émile", "什么问题", "的 a", "- a --- |---|", "## 1. Foo", "### 1.1 Foo", "- foo bar", "* foo bar", "请问 聚类 是什么？ k-means", "user_01@x", "a", "bad name!", "报告<1>?.MD", "...", "C:/tmp/a b.md"]
@@ -422,9 +448,9 @@ def cjk_tokens_literals(spark, d):
     return literals(spark).select("i", F.expr(f"array_join({T.tokens('s')}, '|')").alias("tokens"))
 
 
-@query("username_validation", rf"SELECT i, regexp_full_match(s, '[\p{{L}}\p{{N}}_.@+\-]{{2,32}}') AS valid FROM (VALUES {VALUES}) AS t(i, s)")
+@query("username_validation", rf"SELECT i, regexp_full_match({strip('s')}, '[\p{{L}}\p{{N}}_.@+\-]{{2,32}}') AS valid FROM (VALUES {VALUES}) AS t(i, s)")
 def username_validation(spark, d):
-    return literals(spark).select("i", F.expr(r"s RLIKE '^[\\p{L}\\p{N}_.@+\\-]{2,32}\\z'").alias("valid"))
+    return literals(spark).select("i", F.expr(T.strip("s") + r" RLIKE '^[\\p{L}\\p{N}_.@+\\-]{2,32}\\z'").alias("valid"))
 
 
 @query("heading_literals", f"SELECT * FROM (VALUES (4, ''), (5, '1.1 Foo'), (6, 'foo bar'), (7, '')) AS t(i, heading)")
@@ -432,11 +458,21 @@ def heading_literals(spark, d):
     return literals(spark).filter("i BETWEEN 4 AND 7").select("i", F.expr(T.section_heading("s")).alias("heading"))
 
 
-@query("upload_name_sanitize", r"SELECT i, CASE WHEN stem = '' THEN 'course_material' ELSE stem END || ext AS name FROM (SELECT i, lower(regexp_extract(b, '(\.[^.]+)$', 1)) AS ext, regexp_replace(regexp_replace(regexp_replace(b, '\.[^.]+$', ''), '[<>:\x{22}/\x{5c}|?*]', '_', 'g'), '^[ ._]+|[ ._]+\z', '', 'g') AS stem FROM (SELECT i, regexp_extract(s, '[^/\x{5c}]*$') AS b FROM (VALUES " + VALUES + ") AS t(i, s)))")
+UPLOAD_SQL = rf"""WITH b AS (SELECT i, regexp_extract(regexp_replace({strip('s')}, '(?:/+\.?)+\z', ''), '[^/]*\z') AS b FROM (VALUES {VALUES}) AS t(i, s)),
+n AS (SELECT i, CASE WHEN b = '.' THEN '' ELSE b END AS n FROM b),
+e AS (SELECT i, n, regexp_extract(n, '(?s)^.+(\.[^.]+)\z', 1) AS e FROM n),
+f AS (SELECT i, e, trim(regexp_replace({strip('substring(n, 1, len(n) - len(e))')}, '[^0-9A-Za-z\x{{4e00}}-\x{{9fff}}._()\-\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '_', 'g'), ' ._') AS f FROM e)
+SELECT i, CASE WHEN f = '' THEN 'course_material' ELSE f END || lower(e) AS name FROM f"""
+
+
+@query("upload_name_sanitize", UPLOAD_SQL)
 def upload_name_sanitize(spark, d):
-    rows = literals(spark).select("i", F.regexp_extract("s", r"[^/\\]*$", 0).alias("b"))
-    rows = rows.select("i", F.lower(F.regexp_extract("b", r"(\.[^.]+)$", 1)).alias("ext"), F.expr(r"""regexp_replace(regexp_replace(regexp_replace(b, '\\.[^.]+$', ''), '[<>:"/\\\\|?*]', '_'), '^[ ._]+|[ ._]+\\z', '')""").alias("stem"))
-    return rows.select("i", F.expr("concat(IF(stem = '', 'course_material', stem), ext)").alias("name"))
+    return literals(spark).select("i", F.expr(P.upload_name("s")).alias("name"))
+
+
+@query("upload_names_of_pages", UPLOAD_SQL.replace(f"(VALUES {VALUES}) AS t(i, s)", "(SELECT page_id AS i, url || '?é&x=%20y .' || substring(url, 9, 4) || 'HTML' AS s FROM pages)"))
+def upload_names_of_pages(spark, d):
+    return read(spark, d, "pages").select(F.col("page_id").alias("i"), F.expr(P.upload_name("concat(url, '?é&x=%20y .', substring(url, 9, 4), 'HTML')")).alias("name"))
 
 
 @query("escape_html", """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
