@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the batches that go to Python workers small whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Keep the batches that go to Python workers small whatever the length of the texts. A session's own bounds stay if
+    they are lower; plans are lazy, so the bounds are not lifted again."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*(\w*)", spark.conf.get(key)).groups()
+        have = int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit[:1].lower(), 1)
+        if have <= 0 or have > most:
+            spark.conf.set(key, most)
+
+
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     tests on one machine, a temporary folder becomes this session's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_lorespark_dir", None) or f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
         spark._lorespark_dir = found
     return found.rstrip("/")
 
 
+def open_folder(uri: str):
+    """The Arrow file system of a folder and the path in it, for Python workers. Names of stores that only Hadoop has
+    are told as Arrow knows them."""
+    from pyarrow import fs
+
+    kind, colon, rest = uri.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri("file://" + uri)
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(kind, kind) + ":" + rest)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorespark-{name}-{uuid.uuid4().hex}"
 

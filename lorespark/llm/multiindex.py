@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import components, stored, table
+from lorespark.llm.common import bounded_batches, components, stored, table
 
 THRESHOLD, TARGET, SAMPLE, MOST, BLOCK, QUERIES, SEED = 0.9, 0.98, 8192, 2048, 4096, 65536, 11
 SCALE = 1 << 14
@@ -216,7 +216,7 @@ def _found(unique: DataFrame, n: int, floats: bool, threshold: float, target: fl
     key = ((F.col("region").cast("long") * (1 << 26) + F.col("block")) * (1 << 12) + F.col("cut")).alias("key")
     columns = [key, "region", "query", F.col("entry").alias("node"), "copies", F.col("v").cast("array<float>" if floats else "array<double>").alias("v")]
     meeting = members.select(*columns).union(queries.select(*columns)).repartition("key").sortWithinPartitions("key", "query")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+    bounded_batches(spark)
     return stored(meeting.mapInArrow(_searched(index, threshold), "node long, links long, other long"), "found")
 
 

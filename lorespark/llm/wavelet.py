@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from lorespark.llm.common import bounded_batches, in_order, new_path, stored, table
+from lorespark.llm.common import bounded_batches, in_order, new_path, open_folder, stored, table
 from lorespark.llm.tokens import CACHED, Cache, merge, tokenizer
 
 #: Public pre-tokenization pattern of the vocabulary with word ends (fixed value).
@@ -196,16 +196,6 @@ def encoder(name: str):
     return of_texts
 
 
-def _open(uri: str):
-    """The file system of a folder and the path in it. Names that only Hadoop knows are told as Arrow knows them."""
-    from pyarrow import fs
-
-    kind, colon, rest = uri.partition(":")
-    if not colon:
-        return fs.FileSystem.from_uri("file://" + uri)
-    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(kind, kind) + ":" + rest)
-
-
 def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", order: str | None = None) -> DataFrame:
     """Write docs in ascending id order, or in that of the column `order`, as shard files under path; returns the
     manifest, a stored table with a row a file: the range (part) it comes from, its place in it (seq), file and
@@ -222,7 +212,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
         def flush(tokens: np.ndarray, lengths: np.ndarray, ids: list) -> pa.RecordBatch:
             data = build(tokens, np.r_[0, np.cumsum(lengths)], ids)
             name = f"{part:08d}-{seq:06d}.lswm"
-            store, at = _open(path)
+            store, at = open_folder(path)
             store.create_dir(at, recursive=True)
             temp = f"{at}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temp, compression=None) as f:
@@ -268,7 +258,7 @@ def read_shards(manifest: DataFrame, path: str, kind: str = "bigint", id_col: st
     id_type = to_arrow_type(_parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _open(path)
+        store, at = open_folder(path)
         for b in batches:
             for file, base, tokens in zip(*(c.to_pylist() for c in b.columns)):
                 with store.open_input_stream(f"{at}/{file}", compression=None) as f:

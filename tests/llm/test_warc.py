@@ -1,7 +1,12 @@
 import gzip
 import hashlib
+import time
+import zlib
 from html.parser import HTMLParser
 
+import pytest
+import zstandard
+
 from lorespark.llm import warc as A
 
 
@@ -78,3 +83,75 @@ def test_query(spark):
             assert r.block.split() == "".join(p.words).split()
         else:
             assert "payload-digest-verified: yes" in r.block
+
+
+def test_values_can_not_forge_fields():
+    meta, text = A.derive(response(b"<title>a&#10;source-x: 1</title><a href=\"x\r\nsource-warc-record-id: forged\">l</a><a href='&#10;no: 1'>", extra=[("X-Odd", "a\x85b\x0bc")]))
+    lines = meta["block"].split("\r\n")
+    assert not [x for x in lines if x.startswith(("no:", "source-x:")) or "forged" in x and not x.startswith("outlink")]
+    assert meta["block"].splitlines() == lines[:-1] and "outlink: x source-warc-record-id: forged" in lines
+
+
+def test_bodies_are_decoded():
+    page = "<p>naïve</p>".encode()
+    chunked = b"5\r\n" + page[:5] + b"\r\n%x;x=1\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\n\r\n"
+    kinds = [(page, ""), (gzip.compress(page), "Content-Encoding: gzip"), (zlib.compress(page), "Content-Encoding: deflate"), (zstandard.compress(page), "Content-Encoding: zstd"), (chunked, "Transfer-Encoding: chunked")]
+    kinds += [(zlib.compress(gzip.compress(page)), "Content-Encoding: gzip, deflate")]
+    for body, header in kinds:
+        meta, text = A.derive(response(body, "text/html" + (f"\r\n{header}" if header else "")))
+        assert text["block"] == "naïve" and "payload-digest-verified: yes" in meta["block"], header
+    for body, kind in ((b"%PDF", "application/pdf"), (b"\x00", "image/png"), (b"<p>x", "text/html\r\nContent-Encoding: br"), (b"junk", "text/html\r\nContent-Encoding: gzip"), (b"zz\r\n", "text/html\r\nTransfer-Encoding: chunked")):
+        (meta,) = A.derive(response(body, kind))
+        assert meta["record_type"] == "metadata" and "no-conversion: " in meta["block"], kind
+    assert A.derive(response(b"a <b> c", "text/plain"))[1]["block"] == "a <b> c"
+
+
+def test_conversions_have_their_own_digests_and_the_sources_headers():
+    body = "<p>é".encode()
+    for r in A.derive(response(body)):
+        of = dict(A.parse(r["record"])[0])
+        assert of["X-Source-WARC-Payload-Digest"] == A.digest(body) and of["X-Source-WARC-Record-ID"] == "<urn:uuid:1>" == of["WARC-Refers-To"]
+        assert of["WARC-Refers-To-Target-URI"] == "http://x/" and of["WARC-Refers-To-Date"] == "2020-01-01T00:00:00Z"
+        assert of.get("WARC-Payload-Digest") == (A.digest("é".encode()) if r["record_type"] == "conversion" else None)
+
+
+@pytest.mark.parametrize("piece", ["<a", "<!--", "<script>", "<a '", '<a "', "<title>", "<a href=", "<a \"'>", "</script", "<p title='>'>", "&lt", "<script>x</script", '<a ">'])
+def test_open_markup_takes_linear_time(piece):
+    began = time.process_time()
+    A.Page(piece * 200_000)
+    A.Page("<p>x</p>" + piece * 200_000 + ">\"'-->")
+    assert time.process_time() - began < 12
+
+
+def test_quotes_and_open_ends():
+    assert A.Page('<p title="x>y">a</p><b>b').text == "a\nb"
+    assert A.Page("<!-- a <p>b").text == "<!-- a\nb" and A.Page("1 < 2 <3 <a").text == "1 < 2 <3 <a"
+    assert A.Page("<script>a<p>b").text == "a\nb" and A.Page("<SCRIPT>a</Script >b<style>c</style>d").text == "b d"
+    assert A.Page("<a href=x>1</a><a class=q href='y'>2<a data-href=z>").links == ["x", "y"]
+    assert A.Page('<a title="open>one</a> two').text == "one two"
+
+
+def test_cut_files_keep_their_first_records(spark, tmp_path):
+    one, two = response(b"<p>1"), response(b"<p>2")
+    (tmp_path / "a.warc").write_bytes(one + two[:-30])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two)[:-12])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(one) + b"\x1f\x8bjunk")
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(one * 3))
+    got = sorted((r.path.rsplit("/", 1)[1], r.error is not None) for r in A.read_warc(spark, f"file://{tmp_path}/*").collect())
+    assert got == [("a.warc", False), ("a.warc", True), ("b.warc.gz", False), ("b.warc.gz", True), ("c.warc.gz", False), ("c.warc.gz", True), ("d.warc.gz", False), ("d.warc.gz", False), ("d.warc.gz", False)]
+
+
+def test_many_members_take_linear_time():
+    data = gzip.compress(response(b"x")) * 40_000
+    began = time.process_time()
+    assert sum(1 for _ in A.records(data)) == 40_000 and time.process_time() - began < 20
+
+
+def test_derivatives_are_written_and_read_back(spark, tmp_path):
+    made = A.derivatives(A.responses(spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}") for i in range(20)], "page_id long, url string, html string").repartition(2)), "page_id", "record")
+    files = A.write_warc(made, str(tmp_path / "out"), most=2000)
+    assert files.agg({"records": "sum"}).first()[0] == 40 and files.count() > 4
+    back = A.read_warc(spark, f"file://{tmp_path}/out/*.warc.gz")
+    assert sorted(bytes(r.record) for r in back.collect()) == sorted(bytes(r.record) for r in made.collect())
+    A.write_warc(made, str(tmp_path / "out"), most=2000)  # again, onto the same files
+    assert A.read_warc(spark, f"file://{tmp_path}/out/*.warc.gz").count() == 40
