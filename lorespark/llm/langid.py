@@ -1,18 +1,22 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A text's subwords are the runs of 2, 3 and 4 bytes of its lower-cased words, word edges included, hashed into BUCKETS
-embeddings of DIM numbers; their average goes through a linear softmax. Embeddings and layer are trained together
-by stochastic gradient descent in numpy. A temperature is fitted on a part of the training rows that the descent
-didn't see, so that the score is a calibrated probability; the rejection threshold is the score that at most
-REJECT of those rows with a right answer fall below, and no more than FLOOR.
+A text's subwords are the runs of 2, 3 and 4 bytes of its lower-cased words, each word with a space before and after it
+and no run across two words, hashed into BUCKETS embeddings of DIM numbers; their average goes through a linear
+softmax. Embeddings and layer are trained together by stochastic gradient descent in numpy. Beside the languages there
+is a background class, taught by noise: the words of the training texts with their letters shuffled or drawn anew.
 
-Training takes at most SAMPLE labelled rows (those with the smallest hash of their id, so reruns agree); their
-texts are reduced to bucket counts on the executors, and only these, bounded by BUCKETS a row, reach the driver.
-Prediction covers every whole text.
+Rejection is calibrated on rows that the descent didn't see, one half for each of two steps. A temperature makes the
+score of a language, its share among all classes, a probability. The threshold then lies between what right answers
+score (all but REJECT of them) and what noise scores (all but REJECT_NOISE of it), half way in log odds; where the two
+overlap, right answers come first. A text is rejected if its best language scores below; that language is still named.
+
+Training takes at most SAMPLE distinct labelled texts (those with the smallest hashes, so reruns agree); they are
+reduced to bucket counts on the executors, and only these, bounded by BUCKETS a row, reach the driver. Prediction
+covers every whole text.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Rows without a language teach nothing. If no
-row teaches, every text is `und`. With one language all texts with letters get it. Repeated rows count as often as
-they occur. An empty table gives an empty result. Other columns are not read."""
+row teaches, every text is `und`. With one language all texts with letters get it. Repeated texts teach once, with the
+first of their languages. An empty table gives an empty result. Other columns are not read."""
 
 from __future__ import annotations
 
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import bounded_batches, stored, table
 
-BUCKETS, DIM, SAMPLE, EPOCHS, RATE, BATCH, SEED = 1 << 13, 16, 1500, 30, 0.6, 64, 7
-REJECT, FLOOR, UNKNOWN = 0.001, 0.4, "und"
+BUCKETS, DIM, SAMPLE, EPOCHS, RATE, BATCH, SEED = 1 << 13, 16, 1500, 30, 0.3, 64, 7
+#: Share of a target that all classes have, weight decay a step, and letters that a text must have to make noise of.
+SMOOTH, DECAY, LEAST = 0.02, 0.002, 60
+REJECT, REJECT_NOISE, UNKNOWN = 0.001, 0.05, "und"
 #: A text is hashed this many bytes at a time.
 PIECE = 1 << 20
 #: ASCII characters other than letters end a word.
@@ -41,12 +47,16 @@ def counts(text: str) -> np.ndarray:
     for at in range(0, len(raw), PIECE):
         a = np.frombuffer(raw[at : at + PIECE + 3], dtype=np.uint8).astype(np.uint32)
         h = a
+        edge = a == 32
         for n in (2, 3, 4):
             if len(a) < n:
                 break
             h = h[: len(a) - n + 1] * np.uint32(0x9E3779B1) ^ a[n - 1 :] * np.uint32(0x85EBCA77 + 2 * n)
             h = h ^ h >> np.uint32(15)
-            out += np.bincount((h & np.uint32(BUCKETS - 1))[:PIECE], minlength=BUCKETS)
+            if n > 2:  # a space inside a run means that it leaves its word
+                across = edge[1 : len(a) - n + 2] if n == 3 else across[:-1] | edge[2 : len(a) - n + 3]
+            kept = h[:PIECE] if n == 2 else h[:PIECE][~across[:PIECE]]
+            out += np.bincount(kept & np.uint32(BUCKETS - 1), minlength=BUCKETS)
     return out
 
 
@@ -59,7 +69,7 @@ class Model:
     """Weights, the temperature of the softmax and the threshold under which a prediction is rejected."""
 
     langs: list[str]
-    table: np.ndarray  # BUCKETS x languages: embeddings through the linear layer
+    table: np.ndarray  # BUCKETS x (languages, background): embeddings through the linear layer
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
@@ -71,7 +81,7 @@ class Model:
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(counts(text)) / self.temperature)
-        best = int(p.argmax())
+        best = int(p[: len(self.langs)].argmax())
         return self.langs[best], float(p[best])
 
 
@@ -80,15 +90,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def noise(text: str, rng: np.random.Generator, most: int = 4000) -> str:
+    """Words of a text (its first `most` characters) with their letters shuffled, or drawn from all of the text's."""
+    words = text[:most].lower().split()
+    letters = [c for w in words for c in w] or [" "]
+    if rng.random() < 0.5:
+        return " ".join("".join(rng.permutation(list(w))) for w in words)
+    return " ".join("".join(rng.choice(sorted(set(letters)), len(w))) for w in words)
+
+
 def fit(features: list[np.ndarray], labels: list[str], seed: int = SEED) -> Model:
-    """features: (bucket, count) pairs of each row as a 2 x n array."""
-    langs = sorted(set(labels))
+    """features: (bucket, count) pairs of each row as a 2 x n array. labels: languages; UNKNOWN marks noise, which
+    teaches the background class."""
+    langs = sorted(set(labels) - {UNKNOWN})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), np.zeros(1))
+    classes = [*langs, UNKNOWN]
     rng = np.random.default_rng(seed)
-    emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    y = np.searchsorted(langs, labels)
+    emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(classes))), np.zeros(len(classes))
+    y = np.array([classes.index(x) for x in labels])
     mean = [(f[0], (f[1] / max(1, f[1].sum())).astype(np.float32)[:, None]) for f in features]
+    target = np.full((len(y), len(classes)), SMOOTH / len(classes))  # never quite sure, so that weights stay bounded
+    target[np.arange(len(y)), y] += 1 - SMOOTH
     order = rng.permutation(len(y))
     held, taught = order[: len(y) // 5], order[len(y) // 5 :]
     for epoch in range(EPOCHS):
@@ -96,44 +119,55 @@ def fit(features: list[np.ndarray], labels: list[str], seed: int = SEED) -> Mode
         for at in range(0, len(taught), BATCH):
             rows = taught[at : at + BATCH]
             h = np.stack([(emb[mean[r][0]] * mean[r][1]).sum(axis=0) for r in rows])
-            g = softmax(h @ layer + bias)
-            g[np.arange(len(rows)), y[rows]] -= 1
+            g = softmax(h @ layer + bias) - target[rows]
             back = g @ layer.T
-            layer -= rate * h.T @ g
+            layer -= rate * (h.T @ g + DECAY * layer)
             bias -= rate * g.sum(axis=0) / len(rows)
             for r, b in zip(rows, back):
                 emb[mean[r][0]] -= rate * 8 * mean[r][1] * b
         taught = rng.permutation(taught)
     model = Model(langs, (emb @ layer).astype(np.float32), bias)
-    if len(held):
-        z = np.stack([(model.table[mean[r][0]] * mean[r][1]).sum(axis=0) + bias for r in held])
-        loss = lambda t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-        model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-        p = softmax(z / model.temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[held]])
-        if len(right):
-            model.threshold = float(min(FLOOR, right[int(REJECT * len(right))]))
+    logits = lambda rows: np.array([(model.table[mean[r][0]] * mean[r][1]).sum(axis=0) + bias for r in rows]).reshape(-1, len(classes))
+    first, second = held[::2], held[1::2]
+    if len(first):
+        z = logits(first)
+        loss = lambda t: -(target[first] * np.log(softmax(z / t) + 1e-12)).sum(axis=1).mean()
+        model.temperature = float(min(np.geomspace(0.2, 5, 81), key=loss))
+    if len(second):
+        p = softmax(logits(second) / model.temperature)
+        best, score = p[:, :-1].argmax(axis=1), np.clip(p[:, :-1].max(axis=1), 1e-9, 1 - 1e-9)
+        right, wrong = np.sort(score[best == y[second]]), np.sort(score[y[second] == len(langs)])
+        low = float(right[int(REJECT * len(right))]) if len(right) else 0.0
+        high = float(wrong[min(len(wrong) - 1, int((1 - REJECT_NOISE) * len(wrong)))]) if len(wrong) else 0.0
+        odds = lambda x: np.log(x / (1 - x))
+        model.threshold = low if high >= low or not high else float(1 / (1 + np.exp(-(odds(low) + odds(high)) / 2)))
     return model
 
 
-def train(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit a model on at most `sample` rows of docs for which `teaches` holds."""
-    rows = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # the choice is made on ids alone; texts are read in a second scan, of the chosen
-    key = F.xxhash64(F.lit("teach"), F.col(id_col).cast("string"), F.length(text_col))
-    chosen = rows.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k").alias("k")).first()["k"]
-    if chosen is None:
+def train(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Fit a model on at most `sample` distinct texts of the rows for which `teaches` holds."""
+    key = F.xxhash64(F.lit("teach"), F.col(text_col))
+    rows = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    # the keys of a first scan choose the texts of a second one; copies of a text are one key
+    keys = sorted({r["k"] for r in rows.select("k").orderBy("k").limit(sample).collect()})
+    if not keys:
         return fit([], [])
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counts(t.as_py()) for t in b.column(1)]
-            at = [np.flatnonzero(c) for c in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.astype(np.int32) for a in at], type=pa.list_(pa.int32())), pa.array([c[a].astype(np.int32) for c, a in zip(found, at)], type=pa.list_(pa.int32())), b.column(2)], names=["lang", "at", "n", "k"])
-
-    got = rows.filter(key <= chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), key.alias("k")).mapInArrow(run, "lang string, at array<int>, n array<int>, k long")
-    got = got.limit(2 * sample).toArrow().sort_by([("k", "ascending"), ("lang", "ascending")]).combine_chunks()
+            k, lang, at, n = [], [], [], []
+            for key, name, text in zip(*(c.to_pylist() for c in b.columns)):
+                strange = [(UNKNOWN, noise(text, np.random.default_rng(key & 0xFFFFFFFF)))] if sum(map(str.isalpha, text[:4000])) >= LEAST else []
+                for kind, x in [(name, text), *strange]:
+                    c = counts(x)
+                    where = np.flatnonzero(c)
+                    if has_letter(x):
+                        k, lang, at, n = [*k, key], [*lang, kind], [*at, where.astype(np.int32)], [*n, c[where].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), pa.array(at, type=pa.list_(pa.int32())), pa.array(n, type=pa.list_(pa.int32())), pa.array(k, type=pa.int64())], names=["lang", "at", "n", "k"])
+
+    once = rows.filter(F.col("k").isin(keys)).groupBy("k").agg(F.min("lang").alias("lang"), F.min("t").alias("t"))
+    got = once.mapInArrow(run, "lang string, at array<int>, n array<int>, k long").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")]).combine_chunks()
     at, n = (got.column(c).combine_chunks() for c in ("at", "n"))
     ends, at, n = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
     return fit([np.stack([at[a:z], n[a:z]]) for a, z in zip(ends[:-1], ends[1:])], got.column("lang").to_pylist())

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from lorespark.llm import langid as L
 
 
@@ -37,3 +40,58 @@ def test_pieces_do_not_change_counts(monkeypatch):
     whole = L.counts(text)
     monkeypatch.setattr(L, "PIECE", 64)
     assert (L.counts(text) == whole).all()
+
+
+def plain_counts(text):
+    """Gram by gram: subwords of 2 to 4 bytes of words with their edges."""
+    out = [0] * L.BUCKETS
+    for w in text.lower().encode("utf-8", "surrogatepass").translate(L.TABLE).split():
+        w = b" " + w + b" "
+        for n in (2, 3, 4):
+            for i in range(len(w) - n + 1):
+                h = w[i]
+                for k in range(2, n + 1):
+                    h = (h * 0x9E3779B1 & 0xFFFFFFFF) ^ (w[i + k - 1] * (0x85EBCA77 + 2 * k) & 0xFFFFFFFF)
+                    h ^= h >> 15
+                out[h & L.BUCKETS - 1] += 1
+    return out
+
+
+def test_predictions_are_those_of_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = L.train(docs, ~L.held_out())
+    got = {r.id: (r.lang_pred, r.score) for r in L.identify(docs, m).collect()}
+    for r in docs.collect():
+        if len(r.text or "") > 6000:
+            continue
+        c = plain_counts(r.text or "")
+        total, z = max(1, sum(c)), list(m.bias)
+        for b, n in enumerate(c):
+            for k in range(len(z)) if n else ():
+                z[k] += float(m.table[b][k]) * n / total
+        z = [v / m.temperature for v in z]
+        e = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(m.langs)), key=lambda k: e[k])
+        if any(x.isalpha() for x in r.text or ""):
+            assert got[r.doc_id][0] == m.langs[best] and abs(got[r.doc_id][1] - e[best] / sum(e)) < 1e-4
+
+
+def test_noise_and_other_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = L.train(docs, ~L.held_out())
+    assert 0.2 < m.temperature < 5 and 0 < m.threshold < 0.6
+    rng = np.random.default_rng(3)
+    texts = [r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(60).collect()]
+    strange = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)) for _ in range(40)]
+    strange += ["Witaj świecie, jestem bardzo szczęśliwy że mogę tu być z wami", "Het is een mooie dag om naar het strand te gaan met vrienden"]
+    assert sum(m.predict(x)[1] < m.threshold for x in strange) >= 0.9 * len(strange)
+    assert all(m.predict(x)[1] >= m.threshold for x in texts)
+    assert L.filtered(docs, m).count() >= 0.995 * docs.filter("text is not null").count()
+
+
+def test_copies_teach_once_and_names_may_clash(spark):
+    rows = [(None, f"the cat {i % 3} and the dog " * 5, "en", "k", "x") for i in range(50)] + [(i, f"le chat {i % 4} et le chien " * 5, "fr", "t", "y") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, k string, t string")
+    a, b = L.train(df, L.F.lit(True)), L.train(df.repartition(7), L.F.lit(True))
+    assert (a.table == b.table).all() and a.threshold == b.threshold and a.langs == ["en", "fr"]
+    assert L.identify(df, a).count() == 100 and set(L.filtered(df, a).columns) == set(df.columns)
