@@ -6,8 +6,9 @@ three-word shingles, repeats included. Two fingerprints link at MAX_BITS = 3 or
 Three differing bits touch three of the eight bytes at most, so linked fingerprints agree in five byte
 positions at least: five is the guaranteed minimum of the count filter. A posting list of one (position, byte)
 would hold a 256th of all rows, so the index is kept on what the tally has to reach: each of the 56 sets of
-five positions with their bytes is one posting, and a pair that meets in any posting has a tally of five or
-more. Pairs in a posting are verified by their differing bits.
+five positions with their bytes is one posting, where every pair that can reach the minimum meets. In a posting the
+bytes that a pair shares by position are tallied, pairs with a tally under LEAST = 5 are dropped, and the pairs that
+are left are verified by their differing bits.
 
 Groups of near copies make long postings. A posting of up to GROUP distinct fingerprints is compared in blocks
 inside one task, and only a star of each linked class leaves it (never all pairs). A longer posting is split
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import bounded_batches, components, stored
 
 MAX_BITS, GROUP, SEED, SHINGLE = 3, 4096, 42, 3
+#: Bytes that fingerprints with MAX_BITS differing bits share at least.
+LEAST = 8 - MAX_BITS
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -74,13 +77,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def _linking(x: np.ndarray) -> np.ndarray:
+    """Of the differences (XOR) of pairs: whether the tally of shared bytes reaches the minimum, and then whether the
+    pair is verified by its bits."""
+    retained = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1, dtype=np.uint8) >= LEAST
+    retained[retained] = np.bitwise_count(x[retained]) <= MAX_BITS
+    return retained
+
+
 def _classes(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Stars of the linked classes of distinct fingerprints: arrays of (member, centre)."""
     n = len(fp)
     near = np.empty((n, n), dtype=bool)
     for i in range(0, n, 256):
-        x = fp[i : i + 256, None] ^ fp[None, :]
-        near[i : i + 256] = np.bitwise_count(x) <= MAX_BITS
+        near[i : i + 256] = _linking(fp[i : i + 256, None] ^ fp[None, :])
     left = np.ones(n, dtype=bool)
     for i in range(n):
         if left[i]:
@@ -111,7 +121,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = begin[end - begin == 2]
         if len(pairs):
             a, b = fp[pairs], fp[pairs + 1]
-            ok = np.bitwise_count((a ^ b).view(np.uint64)) <= MAX_BITS
+            ok = _linking((a ^ b).view(np.uint64))
             if ok.any():
                 yield out(-1, a[ok], b[ok])
         for s, e in zip(begin[end - begin > 2], end[end - begin > 2]):
@@ -157,7 +167,9 @@ def links(fps: DataFrame) -> DataFrame:
     MAX_BITS or fewer differing bits do."""
     bounded_batches(fps.sparkSession)
     entry = lambda c, m: F.struct(F.lit(c).cast("int").alias("c"), F.lit(signed(m)).cast("long").alias("mask"))
-    rows = fps.select("fp").distinct().withColumn("c", F.lit(0))
+    # dealt to all tasks before each row becomes 56: by size they would be put together in a few
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(tasks, "fp").distinct().withColumn("c", F.lit(0))
     first = stored(_postings(rows, F.array(*[entry(i, m) for i, m in enumerate(BYTES)])), "postings")
     rest = first.filter("c >= 0").select(F.col("a").alias("fp"), "c")
     finer = F.array(*[F.array(*[entry(20 * i + j, m) for j, m in enumerate(ms)]) for i, ms in enumerate(HALVES)])

@@ -79,3 +79,16 @@ def test_query_against_brute_force(spark):
         least[roots[v]] = min(i, least.get(roots[v], i))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op2_simhash_dedup(spark, d).collect()}
     assert got == {i: (f"{v:016x}", least[roots[v]]) for i, v in fp.items()}
+
+
+def test_long_texts_and_tallies():
+    words = [f"w{i * 7919 % 1009}" for i in range(70_000)]  # more than 32,768 shingles, so counts are added in parts
+    assert S.fingerprint(" ".join(words)).hex() == f"{plain(' '.join(words)):016x}"
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for bits in range(6):
+        b = a.copy()
+        for i in range(len(b)):
+            for k in rng.choice(64, bits, replace=False):
+                b[i] ^= np.uint64(1 << int(k))
+        assert S._linking(a ^ b).all() == (bits <= 3) and S._linking(a ^ b).any() == (bits <= 3)
