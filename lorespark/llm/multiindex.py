@@ -1,17 +1,19 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Two independent codebooks, one for each half of the unit vectors, form a grid of K x K cells; every vector lies in
-the cell of its nearest centroids. A query visits all cells whose sum of two distances is within a limit: MARGIN
-calibration draws vectors at exactly the threshold cosine from sampled ones and takes the quantile TARGET of how far
-beyond the nearest cell theirs lies. Those are the cells that a multi-sequence traversal (traverse()) yields until
-it passes the limit; the query compares all centroids with it and doesn't traverse. All vectors with cosine >= THRESHOLD (0.9) in visited cells, verified in double precision, are links. A
-pair is linked if either of the two visits the other's cell, so the recall of pairs is higher than TARGET; links
-are symmetric.
-
-Codebooks are fitted on at most SAMPLE vectors (smallest hash of the vector); all vectors are indexed and all are
-queries. Equal vectors are one entry with a count. A region (first centroid) of any size is cut into blocks of about
-BLOCK members, and the queries that visit it into blocks as well, so a task holds one block of members and
-streams queries past it. Only counts and a forest of the linked classes leave a task, never all pairs.
+the cell of its nearest centroids. A query traverses the grid by the multi-sequence order: cells by ascending sum of
+the distances to their two centroids, from its own cell on, until it is a margin beyond the first. The margin is
+calibrated: vectors are drawn at exactly the threshold cosine from sampled ones, and it is the quantile of how far
+their cells lie beyond the nearest. A pair is found if either of the two visits the other's cell, so a pair is missed
+only if both miss: the quantile is 1 - sqrt(1 - TARGET), which makes TARGET (98 %) the aimed recall of links at the
+threshold; closer ones are found more often. All vectors in visited cells are verified in double precision, and those
+with cosine >= THRESHOLD (0.9) are links; links are symmetric.
+
+K grows with the square root of the number of vectors, so a cell holds about CELL of them at every size. Codebooks
+are fitted on at most SAMPLE vectors, or four for each centroid where that is more (those with the smallest hashes);
+all vectors are indexed and all are queries. Equal vectors are one entry with a count. Cells are the keys of the join:
+a query is sent to each cell that it visits. A cell of over BLOCK members is cut into blocks, so a task holds one block
+and streams queries past it. Only counts and a forest of the linked classes leave a task, never all pairs.
 Distances to centroids are whole numbers, exact in any order of summation, so both sides of a pair agree on
 who visits whom.
 
@@ -22,7 +24,6 @@ node. Copies link with each other. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import bounded_batches, components, stored, table
 
-THRESHOLD, TARGET, SAMPLE, MOST, BLOCK, QUERIES, SEED = 0.9, 0.98, 8192, 2048, 4096, 65536, 11
+THRESHOLD, TARGET, SAMPLE, CELL, BLOCK, SEED = 0.9, 0.98, 8192, 12, 1024, 11
+#: Numbers of a matrix of distances that a task holds at once.
+HELD = 1 << 22
 SCALE = 1 << 14
 
 
@@ -42,10 +45,15 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step, square = max(1, HELD // len(c)), (c * c).sum(axis=1)
+    return np.concatenate([(square - 2 * x[i : i + step] @ c.T).argmin(axis=1) for i in range(0, len(x), step)])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        near = nearest(x, c)
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -69,33 +77,49 @@ class Index:
         return d1.min(axis=1) + d2.min(axis=1) + self.margin
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray) -> Iterator[tuple[float, int, int]]:
-    """Cells (distance, i, j) of one query in order: a heap over the two sorted sequences."""
-    a, b = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen = [(d1[a[0]] + d2[b[0]], 0, 0)], {(0, 0)}
-    while heap:
-        d, i, j = heapq.heappop(heap)
-        yield d, int(a[i]), int(b[j])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (d1[a[x]] + d2[b[y]], x, y))
-
-
-def build(sample: np.ndarray, n: int, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[Index, float]:
-    """The index for n vectors from a sample, and the mean share of regions that a query visits."""
+def traverse(d1: np.ndarray, d2: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multi-sequence traversal of a batch of queries: which query, and the cell (number i * K + j), in order of
+    queries and of ascending distance, up to each query's limit. Both sequences of each query are sorted, cut where
+    even the other's nearest centroid is too far, and their sums merged."""
+    near = []
+    for d, other in ((d1, d2), (d2, d1)):
+        room = limit - other.min(axis=1)
+        most = int((d <= room[:, None]).sum(axis=1).max(initial=1))
+        at = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        value = np.take_along_axis(d, at, axis=1)
+        order = np.lexsort((at, value))  # equal distances by number
+        near.append((np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)))
+    (i, a), (j, b) = near
+    total = a[:, :, None] + b[:, None, :]
+    q, x, y = np.nonzero(total <= limit[:, None, None])
+    cell = i[q, x].astype(np.int64) * d2.shape[1] + j[q, y]
+    order = np.lexsort((cell, total[q, x, y], q))
+    return q[order], cell[order]
+
+
+def build(sample: np.ndarray, n: int, threshold: float = THRESHOLD, target: float = TARGET) -> Index:
+    """The index for n vectors from a sample."""
     rng = np.random.default_rng(SEED)
     u, h = unit(sample), sample.shape[1] // 2
-    k = max(1, min(MOST, len(u) // 4, round(math.sqrt(n / 12))))
+    k = max(1, min(len(u) // 4, centroids(n)))
     index = Index(tuple(np.rint(kmeans(part, k, rng) * SCALE) for part in (u[:, :h], u[:, h:])))
     q = u[:1024]
     away = rng.normal(size=q.shape)
     away = unit(away - (away * q).sum(axis=1)[:, None] * q) if q.shape[1] > 1 else 0 * q
-    d1, d2 = index.distances(q)
-    y1, y2 = (d.argmin(axis=1) for d in index.distances(threshold * q + math.sqrt(1 - threshold**2) * away))
-    row = np.arange(len(q))
-    index.margin = float(np.quantile(d1[row, y1] + d2[row, y2] - index.limit(d1, d2), target))
-    return index, float((d1 + d2.min(axis=1)[:, None] <= index.limit(d1, d2)[:, None]).mean())
+    moved = threshold * q + math.sqrt(1 - threshold**2) * away
+    beyond = []
+    step = max(1, HELD // k)
+    for i in range(0, len(q), step):
+        d1, d2 = index.distances(q[i : i + step])
+        y1, y2 = (d.argmin(axis=1) for d in index.distances(moved[i : i + step]))
+        row = np.arange(len(d1))
+        beyond.append(d1[row, y1] + d2[row, y2] - index.limit(d1, d2))
+    index.margin = float(np.quantile(np.concatenate(beyond), 1 - math.sqrt(1 - target)))
+    return index
+
+
+def centroids(n: int) -> int:
+    return max(1, round(math.sqrt(n / CELL)))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -124,74 +148,81 @@ def _forest(near: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[list, list]
 
 
 def _searched(index: Index, threshold: float):
-    """Rows (key, region, query, node, copies, v) in order of (key, query): members first, then queries. Gives
-    (node, links, other): links found for a node, or an edge of the forest (links null)."""
+    """Rows (cell, block, query, entry, copies, home, v) in order of (cell, block, query): members first, then queries.
+    Gives (node, links, other): links found for an entry, or an edge of the forest (links null)."""
+    k = len(index.books[1])
 
     def out(node, links, other):
         kinds = pa.int64()
         return pa.RecordBatch.from_arrays([pa.array(node, type=kinds), pa.array(links, type=kinds), pa.array(other, type=kinds)], names=["node", "links", "other"])
 
     class Members:
-        def __init__(self, region, node, copies, v):
-            self.region, u = region, unit(v)
-            d1, d2 = index.distances(u)
-            at = np.argsort(cell := d2.argmin(axis=1), kind="stable")
-            self.u, self.node, self.copies, self.d1, self.d2, self.cell = u[at], node[at], copies[at], d1[at], d2[at], cell[at]
-            self.limit, self.found = index.limit(self.d1, self.d2), np.zeros(len(at), dtype=np.int64)
-            self.cells, begin = np.unique(self.cell, return_index=True)
-            self.begin, self.end = begin, np.r_[begin[1:], len(at)]
-
-        def meet(self, node, copies, v):
+        def __init__(self, node, copies, home, v):
+            self.node, self.copies, self.u, self.found = node, copies, unit(v), np.zeros(len(node), dtype=np.int64)
+
+        def visits(self, members: np.ndarray, homes: np.ndarray) -> np.ndarray:
+            """Whether members visit the cells that queries are at home in."""
+            met = np.empty((len(members), len(homes)), dtype=bool)
+            step = max(1, HELD // (2 * k + len(homes)))
+            for i in range(0, len(members), step):
+                d1, d2 = index.distances(self.u[members[i : i + step]])
+                met[i : i + step] = d1[:, homes // k] + d2[:, homes % k] <= index.limit(d1, d2)[:, None]
+            return met
+
+        def meet(self, node, copies, home, v):
             u = unit(v)
-            d1, d2 = index.distances(u)
-            i, j, limit, found = d1.argmin(axis=1), d2.argmin(axis=1), index.limit(d1, d2), np.zeros(len(u), dtype=np.int64)
-            a, b = [], []
-            for c, s, e in zip(self.cells, self.begin, self.end):
-                who = np.flatnonzero(d1[:, self.region] + d2[:, c] <= limit)
-                if not len(who):
-                    continue
-                cos = u[who] @ self.u[s:e].T
-                near = cos >= threshold
-                for x, y in zip(*np.nonzero(np.abs(cos - threshold) < 1e-12)):
-                    near[x, y] = math.fsum(u[who[x]] * self.u[s + y]) >= threshold
-                near &= node[who][:, None] != self.node[s:e][None, :]
-                if near.any():
-                    hit, there = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                    near, who, there = near[np.ix_(hit, there)], who[hit], there + s
-                    found[who] += near @ self.copies[there]
-                    back = self.d1[np.ix_(there, i[who])] + self.d2[np.ix_(there, j[who])] > self.limit[there][:, None]
-                    self.found[there] += (near.T & back) @ copies[who]
-                    x, y = _forest(near, node[who], self.node[there])
-                    a += x
-                    b += y
-            some = np.flatnonzero(found)
-            yield out(node[some], found[some], [None] * len(some))
+            cos = u @ self.u.T
+            near = cos >= threshold
+            for x, y in zip(*np.nonzero(np.abs(cos - threshold) < 1e-12)):
+                near[x, y] = math.fsum(u[x] * self.u[y]) >= threshold
+            near &= node[:, None] != self.node[None, :]
+            if not near.any():
+                return
+            hit, there = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            near = near[np.ix_(hit, there)]
+            links = near @ self.copies[there]
+            # a member that visits the query's cell finds the query there
+            self.found[there] += (near.T & ~self.visits(there, home[hit])) @ copies[hit]
+            yield out(node[hit], links, [None] * len(hit))
+            a, b = _forest(near, node[hit], self.node[there])
             yield out(a, [None] * len(a), b)
 
         def close(self):
             some = np.flatnonzero(self.found)
-            yield out(self.node[some], self.found[some], [None] * len(some))
+            if len(some):
+                yield out(self.node[some], self.found[some], [None] * len(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, held = None, None, []
+        key, members, held, asked, rows = None, None, [], [], 0
+
+        def ask():
+            if asked and members:
+                yield from members.meet(*map(np.concatenate, zip(*asked)))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, regions, query, node, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            v = _vectors(batch.column(5))
-            cut = np.flatnonzero((keys[1:] != keys[:-1]) | (query[1:] != query[:-1])) + 1
-            for s, e in zip(np.r_[0, cut], np.r_[cut, len(keys)]):
-                if keys[s] != key:
+            cell, block, query, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            v = _vectors(batch.column(6))
+            cut = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+            for s, e in zip(np.r_[0, cut], np.r_[cut, len(cell)]):
+                part = (*(r[s:e] for r in rest), v[s:e])
+                if (cell[s], block[s]) != key:
+                    yield from ask()
                     if members:
                         yield from members.close()
-                    key, members, held = keys[s], None, []
+                    key, members, held, asked, rows = (cell[s], block[s]), None, [], [], 0
                 if not query[s]:
-                    held.append((node[s:e], copies[s:e], v[s:e]))
+                    held.append(part)
                     continue
                 if held:
-                    members, held = Members(regions[s], *map(np.concatenate, zip(*held))), []
-                if members:
-                    yield from members.meet(node[s:e], copies[s:e], v[s:e])
+                    members, held = Members(*map(np.concatenate, zip(*held))), []
+                asked.append(part)
+                rows += e - s
+                if rows >= BLOCK:
+                    yield from ask()
+                    asked, rows = [], 0
+        yield from ask()
         if members:
             yield from members.close()
 
@@ -200,23 +231,19 @@ def _searched(index: Index, threshold: float):
 
 def _found(unique: DataFrame, n: int, floats: bool, threshold: float, target: float) -> DataFrame:
     """(node, links, other) of n vectors (entry, copies, v) of one length, as _searched gives them: a stored table."""
-    spark = unique.sparkSession
-    chosen = unique.select("entry", "v").orderBy("entry").limit(SAMPLE).toArrow().column("v").combine_chunks()
-    index, share = build(_vectors(chosen), n, threshold, target)
-    d1_home = _placed(index)
-    placed = stored(unique.select("entry", "copies", "v").mapInArrow(d1_home, "entry long, copies long, home int, visits array<int>, v array<double>"), "placed")
-    per = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}  # one row a region, MOST at most
-    blocks = F.array(*[F.lit(max(1, math.ceil(per.get(i, 0) / BLOCK))) for i in range(len(index.books[0]))])
-    cuts = max(1, math.ceil(n * share / QUERIES))
-    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "entry"), n).cast("int")
-    members = placed.withColumn("region", F.col("home")).withColumn("block", part("m", F.element_at(blocks, F.col("region") + 1)))
-    members = members.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).withColumn("query", F.lit(0))
-    queries = placed.withColumn("region", F.explode("visits")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("region") + 1) - 1)))
-    queries = queries.withColumn("cut", part("q", F.lit(cuts))).withColumn("query", F.lit(1))
-    key = ((F.col("region").cast("long") * (1 << 26) + F.col("block")) * (1 << 12) + F.col("cut")).alias("key")
-    columns = [key, "region", "query", F.col("entry").alias("node"), "copies", F.col("v").cast("array<float>" if floats else "array<double>").alias("v")]
-    meeting = members.select(*columns).union(queries.select(*columns)).repartition("key").sortWithinPartitions("key", "query")
-    bounded_batches(spark)
+    bounded_batches(unique.sparkSession)
+    sample = max(SAMPLE, 4 * centroids(n))
+    chosen = unique.select("entry", "v", F.xxhash64("v").alias("h")).orderBy("h", "entry").limit(sample).toArrow().column("v").combine_chunks()
+    index = build(_vectors(chosen), n, threshold, target)
+    placed = unique.select("entry", "copies", "v").mapInArrow(_placed(index), "entry long, copies long, home long, cells array<long>, v array<double>")
+    placed = stored(placed.withColumn("v", F.col("v").cast("array<float>" if floats else "array<double>")), "placed")
+    large = placed.groupBy(F.col("home").alias("cell")).count().filter(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # few cells are large, and no query is sent anywhere to learn which
+    blocks = lambda rows: rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = blocks(placed.withColumn("cell", F.col("home"))).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("query", F.lit(0))
+    queries = blocks(placed.withColumn("cell", F.explode("cells"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(1))
+    columns = ["cell", "block", "query", "entry", "copies", "home", "v"]
+    meeting = members.select(*columns).union(queries.select(*columns)).repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
     return stored(meeting.mapInArrow(_searched(index, threshold), "node long, links long, other long"), "found")
 
 
@@ -227,8 +254,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sane = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     ok = all_rows.filter(F.col("id").isNotNull()).filter(F.coalesce(sane, F.lit(False)))
     none = all_rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    # a copy is told by its numbers; a node id can't stand for two different vectors, so hash and node go together
-    unique = stored(ok.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("entry", F.xxhash64("v")), "vectors")
+    # a vector is told by its numbers; entries are numbered as they are written, so no two share a number
+    grouped = ok.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    unique = stored(grouped.withColumn("entry", F.monotonically_increasing_id()), "vectors")
     counts = {r["d"]: r["count"] for r in unique.groupBy(F.size("v").alias("d")).count().collect()}  # one row a length
     if not counts:
         return none
@@ -240,10 +268,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     names = unique.select("entry", "node")
     edges = found.filter("other is not null").select("node", "other").join(names.select(F.col("entry").alias("node"), F.col("node").alias("a")), "node")
     edges = edges.join(names.select(F.col("entry").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
-    own = ok.select(F.col("id").alias("a"), "v").join(unique.filter("copies > 1").select("v", F.col("node").alias("b")), "v").select("a", "b")
+    mine = ok.select("id", "v").join(unique, "v").select("id", "entry", "copies", F.col("node").alias("first"))
+    own = mine.filter("copies > 1").select(F.col("id").alias("a"), F.col("first").alias("b"))
     heads = components(edges.union(own), "vectors-heads")
-    per_row = ok.select("id", F.xxhash64("v").alias("entry")).join(unique.select("entry", "copies"), "entry").join(links, "entry", "left")
-    per_row = per_row.join(heads, F.col("id") == F.col("node"), "left")
+    per_row = mine.join(links, "entry", "left").join(heads, F.col("id") == F.col("node"), "left")
     linked = per_row.select(F.col("id").alias(id_col), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     linked = linked.withColumn("kept", F.col(id_col) == F.col("component_id"))
     usable = F.col("id").isNotNull() & F.coalesce(sane, F.lit(False))
@@ -256,15 +284,20 @@ def _floats(rows: DataFrame, vector_col: str) -> bool:
 
 
 def _placed(index: Index):
+    k = len(index.books[1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            d1, d2 = index.distances(unit(_vectors(b.column(2))))
-            reach = d1 + d2.min(axis=1)[:, None] <= index.limit(d1, d2)[:, None]
-            visits = [np.flatnonzero(r).astype(np.int32) for r in reach]
-            columns = [b.column(0), b.column(1), pa.array(d1.argmin(axis=1).astype(np.int32)), pa.array(visits, type=pa.list_(pa.int32())), b.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["entry", "copies", "home", "visits", "v"])
+            u = unit(_vectors(b.column(2))) if b.num_rows else []
+            step = max(1, HELD // (8 * k))
+            for i in range(0, b.num_rows, step):
+                d1, d2 = index.distances(u[i : i + step])
+                which, cells = traverse(d1, d2, index.limit(d1, d2))
+                home = d1.argmin(axis=1).astype(np.int64) * k + d2.argmin(axis=1)
+                offsets = np.searchsorted(which, np.arange(len(d1) + 1)).astype(np.int32)
+                part = b.slice(i, len(d1))
+                columns = [part.column(0), part.column(1), pa.array(home), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells)), part.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["entry", "copies", "home", "cells", "v"])
 
     return run
 

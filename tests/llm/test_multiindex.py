@@ -39,10 +39,11 @@ def near(rng, n=400, d=16, groups=12, each=25):
     return np.vstack([base, more])
 
 
-@pytest.mark.parametrize("block,queries", [(4096, 65536), (16, 64)])
-def test_links_and_components(spark, monkeypatch, block, queries):
+@pytest.mark.parametrize("block,cell,held", [(1024, 12, 1 << 22), (4, 60, 1 << 8)])
+def test_links_and_components(spark, monkeypatch, block, cell, held):
     monkeypatch.setattr(X, "BLOCK", block)
-    monkeypatch.setattr(X, "QUERIES", queries)
+    monkeypatch.setattr(X, "CELL", cell)
+    monkeypatch.setattr(X, "HELD", held)
     v = near(np.random.default_rng(3)).astype(np.float32)
     rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(v)]
     rows += [(1000 + i, rows[i][1]) for i in range(0, 500, 9)] + [(2000 + i, [2 * x for x in rows[i][1]]) for i in range(0, 500, 50)]
@@ -58,11 +59,42 @@ def test_links_and_components(spark, monkeypatch, block, queries):
     assert all(got[i] == (0, i, True) for i in range(9001, 9007)) and got[None] == (0, None, False)
 
 
-def test_traversal_is_what_a_limit_takes():
+def test_traversal_is_the_multi_sequence_order():
+    import heapq
+
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 50, 9), rng.integers(0, 50, 9)
-    order = list(X.traverse(a, b))
-    assert len(order) == 81 and [d for d, _, _ in order] == sorted((a[:, None] + b).ravel()) and all(a[i] + b[j] == d for d, i, j in order)
+    for k1, k2 in ((9, 7), (1, 5), (4, 1), (40, 40)):
+        d1, d2 = rng.integers(0, 50, (30, k1)).astype(float), rng.integers(0, 50, (30, k2)).astype(float)
+        limit = d1.min(axis=1) + d2.min(axis=1) + rng.integers(0, 40, 30)
+        which, cells = X.traverse(d1, d2, limit)
+        for q in range(30):
+            a, b = np.argsort(d1[q], kind="stable"), np.argsort(d2[q], kind="stable")
+            heap, seen, want = [(d1[q, a[0]] + d2[q, b[0]], 0, 0)], {(0, 0)}, []
+            while heap:
+                d, i, j = heapq.heappop(heap)
+                if d > limit[q]:
+                    break
+                want.append((d, int(a[i]) * k2 + int(b[j])))
+                for x, y in ((i + 1, j), (i, j + 1)):
+                    if x < k1 and y < k2 and (x, y) not in seen:
+                        seen.add((x, y))
+                        heapq.heappush(heap, (d1[q, a[x]] + d2[q, b[y]], x, y))
+            got = [(d1[q, c // k2] + d2[q, c % k2], int(c)) for c in cells[which == q]]
+            assert got == sorted(want) and [d for d, _ in got] == [d for d, _ in want]
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs with a cosine just over 0.9 between random vectors: the hardest links there are."""
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(1500, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(axis=1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    both = np.vstack([u, 0.902 * u + np.sqrt(1 - 0.902**2) * w])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in X.near_duplicates(df).collect())
+    assert found >= 0.93 * 3000, found
 
 
 def test_empty_and_copies_only(spark):
