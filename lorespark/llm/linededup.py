@@ -64,7 +64,10 @@ def _selects(window: tuple[int, int], run: int) -> str:
 
 def repeated(marks: DataFrame, run: int = RUN, long: int = LONG, pair: int | None = PAIR) -> DataFrame:
     """(id, th, n) of each line that goes, once."""
-    first = marks.groupBy("h").agg(F.min(F.struct("id", "th", "p", "near")).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # most lines stand in one place: they go before anything is compared
+    again = marks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    marks = marks.join(again, "h", "left_semi")
+    first = marks.groupBy("h").agg(F.min(F.struct("id", "th", "p", "near")).alias("f"))
     met = marks.join(first, "h").filter("NOT (struct(id, th, p) <=> struct(f.id, f.th, f.p))")
     agree = lambda i: f"near[{i}].h <=> f.near[{i}].h AND near[{i}].v <=> f.near[{i}].v"
     span = lambda k: range(run - 1 + k[1], run - 1 + k[1] + k[0])
@@ -86,7 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_lines, n_removed, text) of each row: the text without later repeated runs. pair None: only runs of `run`
     lines and long lines count."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    marks = stored(fingerprints(rows, run, long, pair), "fingerprints")  # read twice: for the first positions and for the join
+    marks = stored(fingerprints(rows, run, long, pair), "fingerprints")  # read twice: to count lines, and for those that repeat
     gone = repeated(marks, run, long, pair).groupBy("id", "th").agg(F.collect_list("n").alias("gone")).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("t", "\n", -1)))
     kept = F.expr(r"array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\n')")
