@@ -11,8 +11,8 @@ score (all but REJECT of them) and what noise scores (all but REJECT_NOISE of it
 overlap, right answers come first. A text is rejected if its best language scores below; that language is still named.
 
 Training takes at most SAMPLE distinct labelled texts (those with the smallest hashes, so reruns agree); they are
-reduced to bucket counts on the executors, and only these, bounded by BUCKETS a row, reach the driver. Prediction
-covers every whole text.
+reduced to bucket counts on the executors, and only these, bounded by BUCKETS a row, go to the one task that fits
+the model; the driver gets the model. Prediction covers every whole text.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Rows without a language teach nothing. If no
 row teaches, every text is `und`. With one language all texts with letters get it. Repeated texts teach once, with the
@@ -20,6 +20,7 @@ first of their languages. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,11 +167,16 @@ def train(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: st
                         k, lang, at, n = [*k, key], [*lang, kind], [*at, where.astype(np.int32)], [*n, c[where].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), pa.array(at, type=pa.list_(pa.int32())), pa.array(n, type=pa.list_(pa.int32())), pa.array(k, type=pa.int64())], names=["lang", "at", "n", "k"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(b.column(3).to_pylist(), b.column(0).to_pylist(), b.column(1), b.column(2))]
+        got.sort(key=lambda r: r[:2])
+        pairs = [np.stack([at.values.to_numpy(), n.values.to_numpy()]) for _, _, at, n in got]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pairs, [r[1] for r in got]))], type=pa.binary())], names=["model"])
+
     once = rows.filter(F.col("k").isin(keys)).groupBy("k").agg(F.min("lang").alias("lang"), F.min("t").alias("t"))
-    got = once.mapInArrow(run, "lang string, at array<int>, n array<int>, k long").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")]).combine_chunks()
-    at, n = (got.column(c).combine_chunks() for c in ("at", "n"))
-    ends, at, n = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
-    return fit([np.stack([at[a:z], n[a:z]]) for a, z in zip(ends[:-1], ends[1:])], got.column("lang").to_pylist())
+    got = once.mapInArrow(run, "lang string, at array<int>, n array<int>, k long")
+    # at most two rows for each of `sample` texts meet in one task, which a lost executor's successor repeats
+    return pickle.loads(got.repartition(1).mapInArrow(learn, "model binary").first()["model"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
