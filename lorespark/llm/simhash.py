@@ -169,7 +169,7 @@ def links(fps: DataFrame) -> DataFrame:
     entry = lambda c, m: F.struct(F.lit(c).cast("int").alias("c"), F.lit(signed(m)).cast("long").alias("mask"))
     # dealt to all tasks before each row becomes 56: by size they would be put together in a few
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.select("fp").repartition(tasks, "fp").distinct().withColumn("c", F.lit(0))
+    rows = fps.select("fp").distinct().repartition(tasks, "fp").withColumn("c", F.lit(0))
     first = stored(_postings(rows, F.array(*[entry(i, m) for i, m in enumerate(BYTES)])), "postings")
     rest = first.filter("c >= 0").select(F.col("a").alias("fp"), "c")
     finer = F.array(*[F.array(*[entry(20 * i + j, m) for j, m in enumerate(ms)]) for i, ms in enumerate(HALVES)])
