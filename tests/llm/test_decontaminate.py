@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from oracle import same, sql_rows
 
@@ -35,3 +38,41 @@ def test_empty_sides(spark):
 
 def test_query(spark):
     same(D.op6_decontaminate(spark, "/root/testdata/sf0.01"), *sql_rows(D.SQL, "/root/testdata/sf0.01"))
+
+
+def plain(docs, items):
+    """n_words, n_hit and names by trying every window at every place."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+    out = []
+    for _, t in docs:
+        ws, hit, names = split(t), set(), set()
+        for item, it in items:
+            v = split(it)
+            n = min(len(v), 13)
+            wins = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+            for at in range(len(ws)):
+                if tuple(ws[at : at + n]) in wins and n:
+                    hit |= set(range(at, at + n))
+                    names |= {str(item)} - {"None"}
+        out.append((len(ws), len(hit), len(names)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_items_of_all_lengths_against_every_place(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    rng = random.Random(1)
+    some = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(i if i % 5 else None, some(rng.randrange(60)) + " z" * (i % 3) + " " + some(40)) for i in range(30)] + [(99, "q")]
+    items = [(1, "z"), (2, "z z"), (3, "a b c"), (None, docs[3][1][:30]), (5, docs[7][1][:40]), (6, docs[8][1][4:28]), (7, "never seen here"), (8, some(13)), (9, "q q")]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.n_words, r.n_hit, r.n_items) for r in got.collect()) == plain(docs, items)
+
+
+def test_shingles_that_share_a_hash_take_another_salt(spark, monkeypatch):
+    real = D._shingle
+    monkeypatch.setattr(D, "_shingle", lambda ws, at, q, salt: real(ws, at, q, salt) % 2 if salt == 0 else real(ws, at, q, salt))
+    docs = spark.createDataFrame([(1, "x a b c d e y"), (2, "a b c d x e")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    assert D.benchmark_shingles(items)[3] == 1
+    assert sorted((r.doc_id, r.n_hit) for r in D.contamination(docs, items).collect()) == [(1, 5), (2, 0)]
