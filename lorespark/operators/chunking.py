@@ -8,6 +8,7 @@ from lorespark.config import SETTINGS
 from lorespark.functions import text as T
 
 NONE = "CAST(array() AS array<string>)"
+PARAGRAPH = "\\n\\n"
 
 
 def segments(x: str) -> str:
@@ -22,9 +23,10 @@ def long_pieces(x: str, size: int, overlap: int) -> str:
     """A segment that is too long: packed sentences; a sentence too long by itself is cut into windows if nothing
     is being packed, and else goes out whole."""
     candidate = f"IF(b.cur = '', ls, {T.strip("concat(b.cur, ' ', ls)")})"
-    step = f"""CASE WHEN length({candidate}) <= {size} THEN named_struct('o', b.o, 'cur', {candidate})
+    step = f"""CASE WHEN length(cd) <= {size} THEN named_struct('o', b.o, 'cur', cd)
         WHEN b.cur <> '' THEN named_struct('o', array_append(b.o, b.cur), 'cur', ls)
         ELSE named_struct('o', concat(b.o, {T.windows('ls', size, overlap)}), 'cur', '') END"""
+    step = T.let("cd", candidate, step)
     packed = f"aggregate(sn, named_struct('o', {NONE}, 'cur', ''), (b, ls) -> {step}, b -> IF(b.cur = '', b.o, array_append(b.o, b.cur)))"
     return T.let("sn", T.sentences(x), f"IF(size(sn) <= 1, {T.windows(x, size, overlap)}, {packed})")
 
@@ -44,7 +46,7 @@ def chunks(x: str, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chun
     step = f"""CASE WHEN length(sg) > {size} THEN named_struct('o', concat({emitted}, filter({long_pieces('sg', size, overlap)}, lp -> {T.meaningful('lp')})), 'segs', {NONE}, 'cur', '')
         WHEN size(p.segs) = 0 THEN named_struct('o', p.o, 'segs', array(sg), 'cur', sg)
         WHEN length(p.cur) + 2 + length(sg) <= {size} THEN named_struct('o', p.o, 'segs', array_append(p.segs, sg), 'cur', concat(p.cur, '\\n\\n', sg))
-        ELSE named_struct('o', {emitted}, 'segs', {seeded}, 'cur', array_join({seeded}, '\\n\\n')) END"""
+        ELSE {T.let('sd', seeded, f"named_struct('o', {emitted}, 'segs', sd, 'cur', array_join(sd, '{PARAGRAPH}'))")} END"""
     return f"aggregate({segments(x)}, named_struct('o', {NONE}, 'segs', {NONE}, 'cur', ''), (p, sg) -> {step}, p -> {emitted})"
 
 
