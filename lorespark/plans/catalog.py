@@ -299,7 +299,11 @@ def index_summary(spark, d):
 
 
 def chunked(spark, d):
-    c = chunking.chunk_documents(titled(spark, d))
+    return chunked_of(titled(spark, d))
+
+
+def chunked_of(docs):
+    c = chunking.chunk_documents(docs)
     return c.withColumn("chunk_sk", F.struct("doc_id", "order")).withColumn("heading", F.col("section_heading"))
 
 
@@ -315,9 +319,10 @@ def bm25_over_chunks(spark, d):
 
 @query("sources_over_chunks", CHUNK_BM25_SQL + f""" SELECT query_id, rank, title, source_path AS path, round(score, 3) AS score, {strip('substring(text, 1, 320)')} AS snippet, section_heading FROM top JOIN docs USING (chunk_sk)""")
 def sources_over_chunks(spark, d):
-    chunks = chunked(spark, d)
-    found = search.search(search.build_index(chunks.select("chunk_sk", "title", "heading", "text")), asked(spark, d))
-    one = answer.sources(found.join(chunks, "chunk_sk"))
+    found = search.search(search.build_index(chunked(spark, d).select("chunk_sk", "title", "heading", "text")), asked(spark, d))
+    # only documents with a chunk that was found are cut into chunks again
+    docs = titled(spark, d).join(F.broadcast(found.select("chunk_sk.doc_id").distinct()), "doc_id", "left_semi")
+    one = answer.sources(F.broadcast(found).join(chunked_of(docs), "chunk_sk"))
     return one.select("query_id", "rank", "source.title", "source.path", "source.score", "source.snippet", "source.section_heading")
 
 
