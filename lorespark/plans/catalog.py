@@ -34,10 +34,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table of texts that a task gets at most.
+TASK = 32 << 20
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work that is heavy on each text: a table of fewer files than cores is dealt to all of them."""
+    """Documents for work that is heavy on each text: a table of fewer files than cores, or of large ones, is dealt to all
+    of them in tasks of TASK bytes of it."""
     docs, cores = read(spark, sf_dir, "documents").select("doc_id", "text", "source"), spark.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= cores else docs.repartition(4 * cores)
+    files, tasks = len(docs.inputFiles()), -(-search.input_bytes(docs) // TASK)
+    return docs if files >= max(cores, tasks) else docs.repartition(max(4 * cores, tasks))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +139,8 @@ def inverse_document_frequency(spark, d):
 def hits_of(spark, d):
     c = corpus(spark, d)
     found = search.search(search.build_index(c), asked(spark, d))
-    rows = found.join(c.select("chunk_sk", "title", "text", F.concat("source", F.lit("/"), F.col("chunk_sk").cast("string")).alias("source_path")), "chunk_sk")
+    # a few rows for each question, so that no text is dealt again
+    rows = F.broadcast(found).join(c.select("chunk_sk", "title", "text", F.concat("source", F.lit("/"), F.col("chunk_sk").cast("string")).alias("source_path")), "chunk_sk")
     return rows.join(asked(spark, d).withColumnRenamed("text", "question"), "query_id")
 
 
